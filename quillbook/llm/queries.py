@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, packing, quality_classifier, secret_scan, url_filter
+from . import byte_bpe, exact_dedup, language_id, ngram_join, packing, quality_classifier, secret_scan, url_filter
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -21,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_report(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), words=4, threshold=(85, 100))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -49,8 +53,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_best_fit_packing, op3_language_id, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op8_quality_classifier,
-            op10_url_filter,
+            op1_best_fit_packing, op2_ngram_jaccard_join, op3_language_id, op4_byte_bpe, op5_exact_dedup, op6_secret_scan,
+            op8_quality_classifier, op10_url_filter,
         )
     }
 

@@ -52,12 +52,16 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``per_label`` ids of each label, chosen by a hash of the id.  The
-    rank limit is applied within each task before the shuffle, so that a
-    frequent label moves no more than ``per_label`` rows a task."""
-    by_hash = Window.partitionBy(label).orderBy(F.xxhash64(id_col, F.lit(7)), id_col)
-    ranked = rows.where(F.col(id_col).isNotNull()).select(id_col, label).withColumn("place", F.row_number().over(by_hash))
-    return ranked.where(F.col("place") <= per_label).select(id_col, label)
+    """At most ``per_label`` ids of each label: those with the smallest hashes.  Of
+    a label with many rows only hashes below a bound that ``4 * per_label`` of them
+    are expected to meet are ranked, so no task ranks more than that for a label."""
+    rows = rows.where(F.col(id_col).isNotNull()).select(id_col, label)
+    place = F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 31))
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"))  # a row for each label
+    bound = F.least(F.lit(1.0), 4.0 * per_label / F.col("n")) * (1 << 31)
+    near = rows.join(F.broadcast(counts), label).withColumn("place", place).where(F.col("place") < bound)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy("place", id_col)))
+    return ranked.where(F.col("rank") <= per_label).select(id_col, label)
 
 
 Featurise = Callable[[str], np.ndarray]

@@ -14,6 +14,7 @@ among the pieces of its length.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,14 +44,42 @@ _END = (0).to_bytes(4, "little")
 # -- token ids ---------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def _words(digest: str, blob: bytes) -> _Memo:
-    tokenizer = Tokenizer.from_str(blob.decode("utf-8"))
+class _Words:
+    """The ids of single words by a tokenizer, as bytes.
+
+    A word of Latin letters is one pre-token, which goes straight to the
+    tokenizer's model, its bytes written as the pre-tokenizer writes them; a
+    full stop or comma behind a letter is a pre-token of its own.  All else, and
+    every word if the tokenizer does not work that way, takes the whole tokenizer.
+    """
+
+    def __init__(self, blob: bytes):
+        self.tokenizer = Tokenizer.from_str(blob.decode("utf-8"))
+        self.written = _Memo(lambda char: self.tokenizer.pre_tokenizer.pre_tokenize_str(char)[0][0])
+        self.simple = all(self._letters(w.lower()) == self._whole(w) for w in ("Word", "straße", "été", "dont", "ñÿs", "x"))
+        self.marks = {m: self._whole(m) for m in ".,"}
+        self.simple = self.simple and all(self._whole(f"é{m}") == self._whole("é") + self.marks[m] for m in ".,")
+        self.memo = _Memo(self._ids, WORDS)
 
-    def ids(word: str) -> bytes:
-        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    return _Memo(ids, WORDS)
+    def _letters(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize("".join(map(self.written.__getitem__, word)))]).tobytes()
+
+    def _ids(self, word: str) -> bytes:
+        if self.simple and word and max(word) < "\u0250":
+            if word[-1] in self.marks and word[-2:-1].lower().isalpha():
+                return self.memo[word[:-1]] + self.marks[word[-1]]
+            lower = word.lower()
+            if lower.isalpha():
+                return self._letters(lower) if lower == word else self.memo[lower]
+        return self._whole(word)
+
+
+@lru_cache(maxsize=2)
+def _words(digest: str, blob: bytes) -> _Memo:
+    return _Words(blob).memo
 
 
 def tokenise(

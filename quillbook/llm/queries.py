@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, secret_scan, url_filter
+from . import byte_bpe, exact_dedup, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secret_scan, url_filter
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -49,6 +49,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -58,7 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_best_fit_packing, op2_ngram_jaccard_join, op3_language_id, op4_byte_bpe, op5_exact_dedup, op6_secret_scan,
-            op7_quality_rules, op8_quality_classifier, op10_url_filter,
+            op7_quality_rules, op8_quality_classifier, op9_line_dedup, op10_url_filter,
         )
     }
 

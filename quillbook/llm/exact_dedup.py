@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -37,13 +37,18 @@ def _misra_gries(k: int):
     return summarise
 
 
+def digest_of(text: Column) -> Column:
+    """SHA-256 of the text without ASCII white space (null counts as empty)."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), _SPACE, ""), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_sha256, n_points``: the digest of the text without white
     space, and the code points of the text as it is.  Null text is empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        F.sha2(F.regexp_replace(text, _SPACE, ""), 256).alias("text_sha256"),
+        digest_of(F.col(text_col)).alias("text_sha256"),
         F.char_length(text).cast("long").alias("n_points"),
     )
 

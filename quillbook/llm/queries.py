@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,7 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    return {"pipeline": corpus_pipeline.run} | {
         f.__name__: f
         for f in (
             op1_best_fit_packing, op2_ngram_jaccard_join, op3_language_id, op4_byte_bpe, op5_exact_dedup, op6_secret_scan,

@@ -193,13 +193,15 @@ def _spans(rule: Rule, order: int, text: Column, wanted: Column) -> Column:
 
 
 def scan_secrets(
-    docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
 ) -> DataFrame:
-    """``doc_id, text, secrets``: every row with its spans, ordered by start, then
-    rule.  A span is ``start, kind_order, end, kind, value`` (code points, end
-    exclusive; ``value`` is the measured length).  Null text is empty and has no
-    span; repeated rows and null ids stay; other columns are ignored."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """``doc_id, text, carried, secrets``: every row with its spans, ordered by start,
+    then rule.  A span is ``start, kind_order, end, kind, value`` (code points, end
+    exclusive; ``value`` is the measured length).  ``carried`` is a struct of the
+    columns in ``carry``, so that their names clash with none here; others are
+    ignored.  Null text is empty and has no span; repeated rows and null ids stay."""
+    carried = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
     rows = rows.withColumn("key", F.xxhash64("doc_id"))
     found = scratch.table(candidates(rows, rules), "candidates")
     met = rows.join(scratch.small_side(found), "key", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
@@ -207,12 +209,12 @@ def scan_secrets(
         _spans(r, i, F.col("text"), F.lit(True) if boolean_query(r.pattern) is True else F.col("rules").bitwiseAND(1 << i) != 0)
         for i, r in enumerate(rules)
     ]
-    return met.select("doc_id", "text", F.sort_array(F.concat(*spans)).alias("secrets"))
+    return met.select("doc_id", "text", "carried", F.sort_array(F.concat(*spans)).alias("secrets"))
 
 
 def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``doc_id, text``: the texts of ``scan_secrets`` with every span replaced by
-    ``mark``; spans that overlap or touch become one mark."""
+    """``doc_id, text, carried``: the texts of ``scan_secrets`` with every span replaced
+    by ``mark``; spans that overlap or touch become one mark."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state, s):
@@ -226,7 +228,7 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     clean = F.aggregate(
         "secrets", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text")))
     )
-    return found.select("doc_id", F.when(F.size("secrets") == 0, F.col("text")).otherwise(clean).alias("text"))
+    return found.select("doc_id", F.when(F.size("secrets") == 0, F.col("text")).otherwise(clean).alias("text"), "carried")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,6 +132,21 @@ _SETS = "kind int, id long, known boolean, n long, h1 long, h2 long"
 _BLOCKS = "chunk long, share int, tokens binary, places binary, frequencies binary, meta binary"
 _MEMBERS = "doc_id long, n long, tokens binary, frequencies binary"
 
+
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned integers as differences, byte by byte of equal weight, compressed:
+    of sorted hashes in one range the upper bytes vanish."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    raw = steps.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, kind: str) -> np.ndarray:
+    size, width = int.from_bytes(blob[:4], "little"), np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob[4:], size, codec="zstd"), np.uint8) if size else np.zeros(0, np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind), dtype=kind)
+
+
 #: Yields each document's id, the size of its set, and the tokens that may be shared.
 Reader = Callable[[pd.DataFrame], Iterator[tuple[int, int, np.ndarray]]]
 
@@ -145,12 +161,12 @@ def _deal(read: Reader, heavy: np.ndarray, shares: int):
         at = np.searchsorted(heavy, tokens)
         often = np.zeros(len(tokens), bool) if not len(heavy) else heavy[np.minimum(at, len(heavy) - 1)] == tokens
         meta = np.array(ids + whole, "<i8").tobytes()
-        rows = [(chunk, shares + chunk % shares, tokens[often].tobytes(), places[often].tobytes(), b"", meta)]
+        rows = [(chunk, shares + chunk % shares, _pack(tokens[often]), _pack(places[often]), b"", meta)]
         tokens, places = tokens[~often], places[~often]
         share = ((tokens >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32)
         cuts = np.searchsorted(share, np.arange(shares + 1))
         rows += [
-            (chunk, k, tokens[a:b].tobytes(), places[a:b].tobytes(), b"", b"")
+            (chunk, k, _pack(tokens[a:b]), _pack(places[a:b]), b"", b"")
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
             if a < b
         ]
@@ -183,7 +199,7 @@ def _count(shares: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         if group["share"].iloc[0] >= shares:
             return group
-        parts = [np.frombuffer(x, "<u8") for x in group["tokens"]]
+        parts = [_unpack(x, "<u8") for x in group["tokens"]]
         sizes = [len(p) for p in parts]
         tokens = np.concatenate(parts)
         order = np.argsort(tokens)
@@ -198,8 +214,8 @@ def _count(shares: int):
             own = slice(ends[k], ends[k + 1])
             shared = frequency[own] > 1
             if shared.any():
-                place = np.frombuffer(places, "<u2")[shared]
-                rows.append((chunk, 0, tokens[own][shared].tobytes(), place.tobytes(), frequency[own][shared].tobytes(), b""))
+                place = _unpack(places, "<u2")[shared]
+                rows.append((chunk, 0, _pack(tokens[own][shared]), _pack(place), _pack(frequency[own][shared]), b""))
         return pd.DataFrame(rows, columns=["chunk", "share", "tokens", "places", "frequencies", "meta"])
 
     return run
@@ -217,12 +233,10 @@ def _gather(num: int, den: int, often: dict[int, int]):
         head = group[group["meta"].str.len() > 0].iloc[0]
         meta = np.frombuffer(head["meta"], "<i8")
         ids, sizes = meta[: len(meta) // 2], meta[len(meta) // 2 :]
-        tokens = np.concatenate([np.frombuffer(x, "<u8") for x in group["tokens"]])
-        places = np.concatenate([np.frombuffer(x, "<u2") for x in group["places"]])
-        counted = [np.frombuffer(x, "<u4") for x in group["frequencies"]]
-        known = np.array([often[t] for t in np.frombuffer(head["tokens"], "<u8").tolist()], "<u4")
-        at = list(group["meta"].str.len() > 0).index(True)
-        counted[at] = known
+        tokens = np.concatenate([_unpack(x, "<u8") for x in group["tokens"]])
+        places = np.concatenate([_unpack(x, "<u2") for x in group["places"]])
+        known = np.array([often[t] for t in _unpack(head["tokens"], "<u8").tolist()], "<u4")
+        counted = [_unpack(x, "<u4") if x else known for x in group["frequencies"]]
         frequency = np.concatenate(counted)
         enough = np.bincount(places, minlength=len(ids)) >= np.maximum(1, _needed(sizes, num, den))
         keep = enough[places]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..functions import histogram as H
-from ..operators import book, decide, diff, feed, fold, lifecycle, stats, views, workload
+from ..operators import book, decide, diff, directory, feed, fold, lifecycle, stats, views, workload
 from . import oracle as O
 from .session import Stream, stream
 
@@ -508,6 +508,72 @@ def depth_diff_self(s):
     return diff.depth_mismatches(depth, book.depth(book.remaining(s.life, s.effects, s.end))).agg(F.count("*").alias("mismatches"))
 
 
+_CUTS = """
+numbered AS (SELECT idx, row_number() OVER (ORDER BY idx) AS k FROM book),
+cuts AS (SELECT idx AS cut FROM numbered WHERE k % 2500 = 0 UNION SELECT max(idx) FROM numbered),
+held AS (
+  SELECT cut, l.locate, l.side, l.price, qty0 - coalesce((SELECT sum(red) FROM eff e WHERE e.ref = l.ref AND NOT dies AND e.idx <= cut), 0) AS rem
+  FROM cuts JOIN life l ON born <= cut AND (died IS NULL OR died > cut)
+)"""
+
+
+@query(O.on_events(
+    "SELECT cut, locate, side, row_number() OVER (PARTITION BY cut, locate, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END) AS rank, price, "
+    "sum(rem)::BIGINT AS qty, count(*) AS orders FROM held GROUP BY cut, locate, side, price", more=_CUTS,
+))
+@_on()
+def depth_checkpoints(s):
+    """Depths after every 2,500th book message and the last: what a full comparison reads."""
+    return diff.checkpoint_depths(s.messages, s.life, s.effects, 2500)
+
+
+@query(O.on_events("SELECT count(*) AS levels, 0::BIGINT AS empty_level, 0::BIGINT AS unsorted FROM dep"))
+@_on()
+def depth_invariants(s):
+    return diff.depth_invariants(book.depth(s.remaining))
+
+
+@query(O.on_events("SELECT locate, arg_max(state, idx) AS state FROM m WHERE type = 'H' GROUP BY locate"))
+@_on()
+def last_states(s):
+    rows = s.messages.withColumns({"stock": F.lit(None).cast("string"), "round_lot": F.lit(None).cast("long")})
+    return directory.directory(rows).select("locate", "state")
+
+
+@query(O.on_events(
+    "SELECT CASE WHEN type = 'A' THEN 'add' WHEN type = 'E' THEN 'execute' WHEN type = 'X' THEN 'cancel' WHEN type = 'D' THEN 'delete' WHEN type = 'U' THEN 'replace' ELSE 'none' END AS kind, count(*) AS n FROM m GROUP BY 1"
+))
+@_on()
+def event_kinds(s):
+    return directory.event_kinds(s.messages).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(O.on_events("SELECT idx // 1024 AS block, min(idx) AS first, max(idx) AS last, count(*) AS n, max(ts_ns) - min(ts_ns) AS span_ns FROM m GROUP BY 1"))
+@_on()
+def blocks_1024(s):
+    return directory.blocks(s.messages)
+
+
+@query(O.on_events(
+    "SELECT (SELECT count(*) FROM m) AS messages, (SELECT count(*) FROM book) AS book_messages, (SELECT count(*) FROM life) AS orders, (SELECT count(*) FROM rem) AS live_end, "
+    "(SELECT max(live) FROM running WHERE type IN ('A', 'U')) AS peak_live, (SELECT count(*) FROM bucketed WHERE crossed) AS crossed, (SELECT count(*) FROM dist WHERE way = 'no_best') AS no_best_on_side"
+))
+@_on()
+def summary(s):
+    """The scalars of a characterisation, as one row (``sinks.write_json`` writes it)."""
+    parts = [
+        directory.book_share(s.messages).select(F.col("n").alias("messages"), F.col("book").alias("book_messages")),
+        s.life.agg(F.count("*").alias("orders"), F.count_if(F.col("died").isNull()).alias("live_end")),
+        book.live_running(s.messages, s.life).where(F.col("type").isin("A", "F", "U")).agg(F.max("live").alias("peak_live")),
+        _crossings(s).agg(F.count_if("crossed").alias("crossed")),
+        _distances(s).agg(F.count_if(F.col("way") == "no_best").alias("no_best_on_side")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(part)  # one row each
+    return out
+
+
 # -- measurements --------------------------------------------------------------
 
 

@@ -61,3 +61,28 @@ def test_gates_and_counters(spark):
     row = spark.createDataFrame([(10, 20, 0, None)], "cycles long, instructions long, time_running_ns long, time_enabled_ns long")
     got = stats.per_operation(row, F.lit(5)).first()
     assert (got.cycles_per_op, got.ipc, got.ghz) == (2.0, 2.0, None)
+
+
+def test_text_forms(spark):
+    from quillbook.functions import text
+
+    df = spark.createDataFrame([("09:30:01", 123_400, "run0_permsg.csv"), ("9:30", 1, "run0.csv")], "t string, p long, f string")
+    got = df.select(
+        text.clock_ns(F.col("t")).alias("ns"), text.price_text(F.col("p")).alias("p"), text.method_of(F.col("f")).alias("m"),
+        text.variant_fields(text.variant_id(a=F.lit(1), b=F.lit("x"))).alias("v"),
+    ).collect()
+    assert [tuple(r) for r in got] == [(34_201 * 10**9, "12.3400", "permsg", {"a": "1", "b": "x"}), (None, "0.0001", "batch", {"a": "1", "b": "x"})]
+    assert text.rotation(["a", "b", "c"], 4) == ["b", "c", "a"] and text.rotation([], 3) == []
+
+
+def test_directory(spark):
+    from quillbook.operators import directory
+
+    rows = spark.createDataFrame(
+        [(0, "R", 1, "ABC", 100, None, None), (1, "H", 1, None, None, "T", None), (2, "R", 1, "ABD", 10, None, None), (3, "S", 0, None, None, None, "Q"), (4, "H", 2, None, None, "H", None)],
+        "idx long, type string, locate int, stock string, round_lot long, state string, event_code string",
+    )
+    names = directory.directory(rows)
+    assert {r.locate: (r.symbol, r.round_lot, r.state, r.known) for r in names.collect()} == {1: ("ABD", 10, "T", True), 2: (None, None, "H", False)}
+    assert directory.last_system_event(rows).first()[0] == "Q"
+    assert {r.idx: r.symbol for r in directory.with_symbols(rows, names).collect()}[3] == ""

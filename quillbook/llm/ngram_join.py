@@ -24,6 +24,7 @@ each document, the smallest document reachable over links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 
-#: Tokens of a packed chunk of documents, and of a hash range, on average.
-CHUNK_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 21
+#: Tokens of a packed chunk of documents, and of a hash range: this many at least,
+#: and so many that a chunk has ``BLOCK_TOKENS`` in each range on average.  At a
+#: trillion tokens that makes 32 million, 256 MB; packed blocks never get tiny.
+CHUNK_TOKENS, BLOCK_TOKENS = 1 << 19, 1 << 10
 #: Most classes whose copies, and tokens whose postings, are resolved by broadcast.
 HEAVY_CLASSES, HEAVY_TOKENS = 10_000, 4096
 #: Documents of a block of a large family.
@@ -151,11 +154,11 @@ def _unpack(blob: bytes, kind: str) -> np.ndarray:
 Reader = Callable[[pd.DataFrame], Iterator[tuple[int, int, np.ndarray]]]
 
 
-def _deal(read: Reader, heavy: np.ndarray, shares: int):
+def _deal(read: Reader, heavy: np.ndarray, shares: int, width: int):
     """Chunks of documents, packed by hash range; heavy tokens stay with the chunk."""
 
     def packed(chunk: int, ids: list[int], whole: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
-        tokens, places = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype="<u2"), [len(s) for s in sets])
+        tokens, places = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype="<u4"), [len(s) for s in sets])
         order = np.argsort(tokens)
         tokens, places = tokens[order], places[order]
         at = np.searchsorted(heavy, tokens)
@@ -184,7 +187,7 @@ def _deal(read: Reader, heavy: np.ndarray, shares: int):
                 whole.append(n)
                 sets.append(tokens)
                 amount += len(tokens)
-                if amount >= CHUNK_TOKENS or len(ids) == 65_535:
+                if amount >= width:
                     yield packed(chunk, ids, whole, sets)
                     chunk, ids, whole, sets, amount = chunk + 1, [], [], [], 0
         if ids:
@@ -214,7 +217,7 @@ def _count(shares: int):
             own = slice(ends[k], ends[k + 1])
             shared = frequency[own] > 1
             if shared.any():
-                place = _unpack(places, "<u2")[shared]
+                place = _unpack(places, "<u4")[shared]
                 rows.append((chunk, 0, _pack(tokens[own][shared]), _pack(place), _pack(frequency[own][shared]), b""))
         return pd.DataFrame(rows, columns=["chunk", "share", "tokens", "places", "frequencies", "meta"])
 
@@ -234,7 +237,7 @@ def _gather(num: int, den: int, often: dict[int, int]):
         meta = np.frombuffer(head["meta"], "<i8")
         ids, sizes = meta[: len(meta) // 2], meta[len(meta) // 2 :]
         tokens = np.concatenate([_unpack(x, "<u8") for x in group["tokens"]])
-        places = np.concatenate([_unpack(x, "<u2") for x in group["places"]])
+        places = np.concatenate([_unpack(x, "<u4") for x in group["places"]])
         known = np.array([often[t] for t in _unpack(head["tokens"], "<u8").tolist()], "<u4")
         counted = [_unpack(x, "<u4") if x else known for x in group["frequencies"]]
         frequency = np.concatenate(counted)
@@ -256,10 +259,11 @@ def _gather(num: int, den: int, often: dict[int, int]):
 
 def _linkable(rows: DataFrame, read: Reader, total: int, heavy: list[tuple[int, int]], num: int, den: int) -> DataFrame:
     """``doc_id, n, tokens, frequencies`` of the sets that share enough tokens with others."""
-    shares = max(16, -(-total // RANGE_TOKENS))
+    width = max(CHUNK_TOKENS, math.isqrt(BLOCK_TOKENS * total))
+    shares = max(16, -(-total // width))
     often = {t & (2**64 - 1): max(2, min(seen, 2**32 - 1)) for t, seen in heavy}
     order = np.sort(np.array(list(often), np.uint64))
-    blocks = rows.mapInPandas(_deal(read, order, shares), _BLOCKS)
+    blocks = rows.mapInPandas(_deal(read, order, shares, width), _BLOCKS)
     counted = blocks.groupBy("share").applyInPandas(_count(shares), _BLOCKS)
     return counted.groupBy("chunk").applyInPandas(_gather(num, den, often), _MEMBERS)
 

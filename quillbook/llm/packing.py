@@ -34,8 +34,8 @@ ROUNDS, STEP = 250, 0.35
 #: Roundings that are tried: a share of the fractional solution, and whether only
 #: packings without room left are taken from it.  The one with the fewest sequences stays.
 ROUNDINGS = ((1.0, False), (0.9, True), (0.5, True), (0.2, True), (0.05, True))
-#: Words that one Python worker remembers.
-WORDS = 500_000
+#: Words that a task remembers.
+WORDS = 200_000
 #: Shares into which the pieces of each length are dealt to be ranked.
 RANK_SHARES = 64
 _END = (0).to_bytes(4, "little")
@@ -118,6 +118,7 @@ def tokenise(
                 ],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
+        words.clear()  # a worker that lives on keeps the tokenizer only
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -51,6 +51,8 @@ class QualityModel:
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 11) -> QualityModel:
     """Softmax regression over averaged embeddings; no rows give a score of 0.5."""
+    if not rows:
+        return QualityModel(np.zeros(_BUCKETS, np.float32), 0.0)
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / _SIZE, 1 / _SIZE, (_BUCKETS, _SIZE)).astype(np.float32)
     layer, bias = random.uniform(-0.5, 0.5, (_SIZE, 2)).astype(np.float32), np.zeros(2, np.float32)

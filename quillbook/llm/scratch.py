@@ -1,70 +1,29 @@
-"""Intermediate tables in the folder that the whole cluster shares.
-
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it
-back, so a lost executor costs at most the tasks of one stage.  Only where that
-setting is absent (plain local sessions) a folder of our own is used.
-"""
+"""Intermediate tables: as in the rest of the library, written in smaller Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows of at most about 100 bytes that may be broadcast; a side is counted first.
-BROADCAST_ROWS = 200_000
+from pyspark.sql import DataFrame
 
-_paths: dict[str, SparkSession] = {}
+from ..plans import scratch as _shared
+from ..plans.scratch import folder, forget, small_side
 
+__all__ = ["folder", "forget", "rows_that_may_be_broadcast", "small_side", "table"]
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return (shared or os.path.join(tempfile.gettempdir(), "quillbook-scratch")).rstrip("/") + "/quillbook"
+#: Rows that a Python worker gets at once while a table is written: whole texts are
+#: in them, and both sides of the pipe hold a batch.
+BATCH_ROWS = 1000
+_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of it."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _paths[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    for df in tables:
-        _delete(df._scratch_path)
-
-
-def _delete(path: str) -> None:
-    spark = _paths.pop(path, None)
-    if spark is not None and spark.sparkContext._jsc is not None:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _leave_nothing() -> None:
-    for path in list(_paths):
-        try:
-            _delete(path)
-        except Exception:  # the JVM may be gone already at interpreter exit
-            return
-
+    conf = df.sparkSession.conf
+    before = conf.get(_KEY)
+    conf.set(_KEY, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        return _shared.table(df, label)
+    finally:
+        conf.set(_KEY, before)
 
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to be small, else as it is.
 
-    ``rows`` is the count where the caller knows it.  Beyond the bound the join
-    shuffles, and adaptive execution splits skewed partitions.
-    """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def rows_that_may_be_broadcast() -> int:
+    return _shared.BROADCAST_ROWS

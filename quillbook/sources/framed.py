@@ -103,7 +103,7 @@ class _Writer(DataSourceWriter):
 
         os.makedirs(self.path, exist_ok=True)
         part = TaskContext.get().partitionId()
-        target = os.path.join(self.path, f"part-{part:06d}.itch" + (".gz" if self.zipped else ""))
+        target = os.path.join(self.path, f"part-{part:06d}.frames" + (".gz" if self.zipped else ""))
         # written aside and renamed: a task that runs twice leaves one whole file
         aside = os.path.join(self.path, f"_{os.path.basename(target)}-{TaskContext.get().taskAttemptId()}")
         n = 0

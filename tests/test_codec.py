@@ -69,16 +69,16 @@ def test_files(spark, tmp_path):
 def test_cut_streams(spark, tmp_path, cut, says):
     framed.register(spark)
     whole = len(ADD).to_bytes(2, "big") + ADD
-    (tmp_path / "cut.itch").write_bytes(whole + whole[:cut])
+    (tmp_path / "cut.frames").write_bytes(whole + whole[:cut])
     with pytest.raises(PySparkException, match=says):
-        spark.read.format("framed").option("path", str(tmp_path / "cut.itch")).load().count()
+        spark.read.format("framed").option("path", str(tmp_path / "cut.frames")).load().count()
 
 
 def test_cut_gzip_and_missing_files(spark, tmp_path):
     framed.register(spark)
     whole = gzip.compress((len(ADD).to_bytes(2, "big") + ADD) * 1000)
-    (tmp_path / "cut.itch.gz").write_bytes(whole[:-20])
-    for name in ("cut.itch.gz", "absent"):
+    (tmp_path / "cut.frames.gz").write_bytes(whole[:-20])
+    for name in ("cut.frames.gz", "absent"):
         with pytest.raises(PySparkException):
             spark.read.format("framed").option("path", str(tmp_path / name)).load().count()
 

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Pieces, and pairs of tokens, that one Python worker remembers.
 MEMO = 300_000
+#: Rows that a worker turns at a time: ids and bytes of whole texts are in them.
+ROWS = 512
 
 
 class _Memo(dict):
@@ -52,7 +54,7 @@ class Bpe:
             self.longest.add_word(token.decode("latin-1"), (len(token), i))
         self.longest.make_automaton()
         self.halves = _Memo(self._halves)
-        self.neighbours = _Memo(lambda pair: self._compatible(*pair), 2 * MEMO)
+        self.neighbours = _Memo(lambda pair: self._compatible(pair >> 20, pair & 0xFFFFF))
         self.pieces = _Memo(lambda piece: array("i", self.encode_bytes(piece.encode("utf-8", "replace"))).tobytes())
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -88,15 +90,15 @@ class Bpe:
             return [known]
         n = len(piece)
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, token) in self.longest.iter(piece.decode("latin-1")):
-            starts[end - length + 1].append((length, token))  # shorter ones first
+        for end, match in self.longest.iter(piece.decode("latin-1")):
+            starts[end - match[0] + 1].append(match)  # shorter ones first
         failed = bytearray(n + 1)
         chosen: list[tuple[int, int, int]] = []
         at, option = 0, len(starts[0]) - 1 if n else 0
         while at < n:
             while option >= 0:
                 length, token = starts[at][option]
-                if not failed[at + length] and (not chosen or self.neighbours[chosen[-1][0], token]):
+                if not failed[at + length] and (not chosen or self.neighbours[chosen[-1][0] << 20 | token]):
                     break
                 option -= 1
             if option >= 0:
@@ -121,10 +123,22 @@ def parse_ranks(blob: bytes) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _shared(digest: str, read) -> Bpe:
+def _encoder(digest: str, read) -> Bpe:
     return Bpe(parse_ranks(read()))
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(digest: str, read) -> dict[int, bytes]:
+    return {i: t for t, i in parse_ranks(read()).items()}
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class _Vocabulary:
     """A broadcast vocabulary; a Python worker builds its tables once."""
 
@@ -144,7 +158,10 @@ class _Vocabulary:
         return self.blob.value
 
     def bpe(self) -> Bpe:
-        return _shared(self.digest, self)
+        return _encoder(self.digest, self)
+
+    def token_bytes(self) -> dict[int, bytes]:
+        return _token_bytes(self.digest, self)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,7 +171,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cut = vocabulary.bpe(), regex.compile(pattern).findall
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column("text")
             found = [b"".join(map(bpe.pieces.__getitem__, cut(t.as_py() or ""))) for t in texts]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype="int64")
@@ -171,10 +188,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     vocabulary = _Vocabulary(encoded, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary.bpe()
-        for batch in batches:
+        token = vocabulary.token_bytes().__getitem__
+        for batch in parts(batches):
             lists = batch.column("ids")
-            decoded = [bpe.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in lists]
+            decoded = [b"".join(map(token, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in lists]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), lists, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"]
             )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import histogram as H
 from ..plans import scratch
-from .book import previous
+from .book import previous, running_sum
 from .lifecycle import is_book
 
 NS = 1_000_000_000
@@ -97,7 +97,7 @@ def rate_histogram(windows: DataFrame, width: int) -> DataFrame:
 
 def snapshot_cuts(messages: DataFrame) -> DataFrame:
     """``session, boundary_s, cut``: the first message at or past every half hour."""
-    bounds = F.explode(F.sequence(F.lit(OPEN // NS), F.lit(CLOSE // NS), F.lit(1800))).alias("boundary_s")
+    bounds = F.explode(F.sequence(*(F.lit(x).cast("long") for x in (OPEN // NS, CLOSE // NS, 1800)))).alias("boundary_s")
     rows = messages.groupBy("session", F.floor(F.col("ts_ns") / (1800 * NS)).alias("half")).agg(F.min("idx").alias("first"))
     # the stream of a session is ordered by time, so the first message of a later half hour is the answer
     sessions = rows.select("session").distinct().select("session", bounds)
@@ -105,20 +105,43 @@ def snapshot_cuts(messages: DataFrame) -> DataFrame:
     return met.groupBy("session", "boundary_s").agg(F.min("first").alias("cut"))
 
 
+def _cuts_seen(messages: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``session, half, seen``: how many cuts lie at or before a message of that half
+    hour.  A cut is always the first message of its half hour, so this is one number
+    for all of them; a few dozen rows a session."""
+    half = F.floor(F.col("ts_ns") / (1800 * NS)).alias("half")
+    firsts = messages.groupBy("session", half).agg(F.min("idx").alias("idx"))
+    at = cuts.groupBy(F.col("cut").alias("idx")).agg(F.count("*").alias("n"))
+    steps = firsts.join(at, "idx", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return running_sum(steps, "idx", "n").select("session", "half", F.col("running").alias("seen"))
+
+
 def depth_snapshots(messages: DataFrame, life: DataFrame) -> DataFrame:
     """Books just before each half hour of each session: live orders, sides, and the
-    distribution of levels per side and of orders per level."""
-    cuts = snapshot_cuts(messages)
-    live = life.join(F.broadcast(cuts.select("session", "boundary_s", "cut").withColumnRenamed("session", "at_session")), (F.col("born") < F.col("cut")) & (F.col("died").isNull() | (F.col("died") >= F.col("cut"))))
+    distribution of levels per side and of orders per level.
+
+    Cuts are numbered in stream order; those that see an order live are the range
+    of numbers between its birth and its death, found by equi-joins."""
+    cuts = scratch.table(snapshot_cuts(messages), "cuts")
+    number = Window.orderBy("cut", "session", "boundary_s")  # 14 rows a session
+    numbered = cuts.select(F.row_number().over(number).cast("long").alias("k"), F.col("session").alias("at_session"), "boundary_s")
+    seen = scratch.table(_cuts_seen(messages, cuts), "seen")
+    half = F.floor(F.col("ts_ns") / (1800 * NS)).alias("half")
+    ends = messages.select(F.col("idx").alias("died"), "session", half).join(scratch.small_side(seen), ["session", "half"])
+    births = life.select("born", "died", "locate", "side", "price", "session", F.floor(F.col("born_ns") / (1800 * NS)).alias("half"))
+    births = births.join(scratch.small_side(seen.withColumnRenamed("seen", "from")), ["session", "half"]).drop("session", "half")
+    spans = births.join(ends.select("died", F.col("seen").alias("to")), "died", "left").withColumn("to", F.coalesce("to", F.lit(cuts.count())))
+    live = spans.where(F.col("from") < F.col("to")).withColumn("k", F.explode(F.sequence(F.col("from") + 1, F.col("to"))))
+    live = live.join(scratch.small_side(numbered), "k")
     at = ["at_session", "boundary_s"]
-    levels = live.groupBy(*at, "locate", "side", "price").agg(F.count("*").alias("orders"))
+    levels = scratch.table(live.groupBy(*at, "locate", "side", "price").agg(F.count("*").alias("orders")), "levels")
     sides = levels.groupBy(*at, "locate", "side").agg(F.count("*").alias("levels"))
     shares = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
     per_side = H.quantiles(H.histogram(sides, F.col("levels"), *at), shares, *at).drop("mean")
     per_side = per_side.select(*at, F.col("n").alias("sides"), *[F.col(c).alias(f"levels_{c}") for c in (*shares, "max")])
     per_level = H.quantiles(H.histogram(levels, F.col("orders"), *at), {"p50": 0.5, "p99": 0.99}, *at)
     per_level = per_level.select(*at, *[F.col(c).alias(f"orders_{c}") for c in ("p50", "p99", "max")])
-    total = live.groupBy(*at).agg(F.count("*").alias("live_orders"))
+    total = levels.groupBy(*at).agg(F.sum("orders").alias("live_orders"))
     return total.join(per_side, at).join(per_level, at).withColumnRenamed("at_session", "session")
 
 

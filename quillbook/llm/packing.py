@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import scratch
-from .byte_bpe import _Memo
+from .byte_bpe import _Memo, parts
 
 SEQUENCE = 2048
 #: Rounds of multiplicative weights, and how fast the weights fall.
@@ -35,9 +35,10 @@ ROUNDS, STEP = 250, 0.35
 #: packings without room left are taken from it.  The one with the fewest sequences stays.
 ROUNDINGS = ((1.0, False), (0.9, True), (0.5, True), (0.2, True), (0.05, True))
 #: Words that a task remembers.
-WORDS = 200_000
-#: Shares into which the pieces of each length are dealt to be ranked.
-RANK_SHARES = 64
+WORDS = 400_000
+#: The pieces of a length are dealt into shares of about this many to be ranked, or
+#: more where ``RANK_SHARES`` shares in all would not do.
+SHARE_ROWS, RANK_SHARES = 4096, 65_536
 _END = (0).to_bytes(4, "little")
 
 
@@ -55,6 +56,7 @@ class _Words:
 
     def __init__(self, blob: bytes):
         self.tokenizer = Tokenizer.from_str(blob.decode("utf-8"))
+        self.model = self.tokenizer.model
         self.written = _Memo(lambda char: self.tokenizer.pre_tokenizer.pre_tokenize_str(char)[0][0])
         self.simple = all(self._letters(w.lower()) == self._whole(w) for w in ("Word", "straße", "été", "dont", "ñÿs", "x"))
         self.marks = {m: self._whole(m) for m in ".,"}
@@ -65,15 +67,16 @@ class _Words:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize("".join(map(self.written.__getitem__, word)))]).tobytes()
+        if not word.isascii():  # the pre-tokenizer writes ASCII letters as they are
+            word = "".join(map(self.written.__getitem__, word))
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _ids(self, word: str) -> bytes:
-        if self.simple and word and max(word) < "\u0250":
-            if word[-1] in self.marks and word[-2:-1].lower().isalpha():
-                return self.memo[word[:-1]] + self.marks[word[-1]]
-            lower = word.lower()
+        if self.simple and word and (word.isascii() or max(word) < "\u0250"):
+            mark = self.marks.get(word[-1], b"")
+            lower = (word[:-1] if mark else word).lower()
             if lower.isalpha():
-                return self._letters(lower) if lower == word else self.memo[lower]
+                return self._letters(word) if lower == word else self.memo[lower] + mark
         return self._whole(word)
 
 
@@ -99,14 +102,14 @@ def tokenise(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(digest, shared.value)
-        for batch in batches:
+        for batch in parts(batches):
             row, piece, ids = [], [], []
             for at, text in enumerate(batch.column("text")):
                 whole = b"".join(map(words.__getitem__, (text.as_py() or "").replace("\n", " ").split(" "))) + _END
-                parts = [whole[k : k + 4 * sequence] for k in range(0, len(whole), 4 * sequence)]
-                row += [at] * len(parts)
-                piece += range(len(parts))
-                ids += parts
+                cut = [whole[k : k + 4 * sequence] for k in range(0, len(whole), 4 * sequence)]
+                row += [at] * len(cut)
+                piece += range(len(cut))
+                ids += cut
             number = pa.array(piece, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -234,17 +237,20 @@ def slots(packings: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
 # -- placement ---------------------------------------------------------------
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
+def _ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """``pieces`` with ``rank``, from 0 without gaps among pieces of equal length.
-    A length that many pieces share is dealt into ``RANK_SHARES`` shares, which are
-    counted and numbered apart, and moved up by the shares before."""
-    dealt = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "uid"), F.lit(RANK_SHARES)))
+    A length that many pieces share is dealt into shares, which are counted and
+    numbered apart, and moved up by the shares before."""
+    size = max(SHARE_ROWS, sum(histogram.values()) // RANK_SHARES)
+    shares = pieces.sparkSession.createDataFrame([(k, -(-n // size)) for k, n in histogram.items()], "length long, shares long")
+    dealt = pieces.join(F.broadcast(shares), "length")  # at most a row for each length
+    dealt = dealt.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "uid"), "shares")).drop("shares")
     counts = dealt.groupBy("length", "share").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "share").orderBy("doc_id", "piece", "uid")
     numbered = dealt.withColumn("within", F.row_number().over(within) - 1)
-    # at most SEQUENCE * RANK_SHARES rows, however many pieces there are
+    # at most RANK_SHARES rows and one for each length, however many pieces there are
     return numbered.join(F.broadcast(bases), ["length", "share"]).withColumn("rank", F.col("base") + F.col("within")).drop(
         "share", "within", "base"
     )
@@ -276,8 +282,9 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     other; an empty table gives an empty result."""
     rows = scratch.table(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     counted = rows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``sequence`` rows
-    table = slots(solve({r["length"]: r["n"] for r in counted}, sequence))
-    return _placed(rows.sparkSession, _ranked(rows), table).drop("uid")
+    histogram = {r["length"]: r["n"] for r in counted}
+    table = slots(solve(histogram, sequence))
+    return _placed(rows.sparkSession, _ranked(rows, histogram), table).drop("uid")
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ SEQUENCE = 2048
 ROUNDS, STEP = 250, 0.35
 #: Roundings that are tried: a share of the fractional solution, and whether only
 #: packings without room left are taken from it.  The one with the fewest sequences stays.
-ROUNDINGS = ((1.0, False), (0.9, True), (0.5, True), (0.2, True), (0.05, True))
+ROUNDINGS = ((1.0, False), (0.9, True), (0.5, True), (0.2, True), (0.05, True), (0.01, True))
 #: Words that a task remembers.
 WORDS = 400_000
 #: The pieces of a length are dealt into shares of about this many to be ranked, or

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 _SPREAD = np.uint32(0x9E3779B1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -59,7 +61,7 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, id_col: str = "d
     place = F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 31))
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))  # a row for each label
     bound = F.least(F.lit(1.0), 4.0 * per_label / F.col("n")) * (1 << 31)
-    near = rows.join(F.broadcast(counts), label).withColumn("place", place).where(F.col("place") < bound)
+    near = rows.join(scratch.small_side(counts), label).withColumn("place", place).where(F.col("place") < bound)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy("place", id_col)))
     return ranked.where(F.col("rank") <= per_label).select(id_col, label)
 

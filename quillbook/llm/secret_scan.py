@@ -25,6 +25,8 @@ from . import scratch
 
 #: Expected documents per shard of the index.
 SHARD = 8192
+#: Spans that are joined at a time.
+CHUNK = 256
 #: Most strings that a literal run may stand for while a query is derived.
 _EXACT = 64
 
@@ -163,6 +165,22 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], key: str = "key", text: s
     return index.select(F.inline(found)).groupBy(key).agg(F.bit_or("bit").alias("rules"))
 
 
+def _folded(items: Column, empty: Column, step) -> Column:
+    """``at, out`` after folding ``items`` from the left.  ``step`` moves ``at`` and adds
+    to ``out``; what grows is joined per ``CHUNK`` items, so that a text with very many
+    spans does not copy all earlier ones for each."""
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / CHUNK).cast("int"), F.lit(1)) - 1), lambda c: F.slice(items, c * CHUNK + 1, CHUNK)
+    )
+
+    def more(state, chunk):
+        inner = F.aggregate(chunk, F.struct(state["at"].alias("at"), empty.alias("out")), step)
+        joined = F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), F.concat(state["out"], i["out"]).alias("out")))
+        return F.element_at(joined, 1)
+
+    return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), empty.alias("out")), more)
+
+
 def _spans(rule: Rule, order: int, text: Column, wanted: Column) -> Column:
     """Spans of one rule in code points: what lies between matches gives their places."""
     none = F.array().cast("array<string>")
@@ -176,10 +194,7 @@ def _spans(rule: Rule, order: int, text: Column, wanted: Column) -> Column:
             F.char_length(gap).alias("gap"), F.char_length(m["whole"]).alias("long"), F.char_length(m["value"]).alias("value")
         ),
     )
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string,value:int>>").alias("out"),
-    )
+    empty = F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string,value:int>>")
 
     def step(state, m):
         at = state["at"] + m["gap"]
@@ -189,7 +204,7 @@ def _spans(rule: Rule, order: int, text: Column, wanted: Column) -> Column:
         )
         return F.struct((at + m["long"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    return F.filter(F.aggregate(steps, start, step, lambda s: s["out"]), lambda s: s["value"] >= rule.least)
+    return F.filter(_folded(steps, empty, step)["out"], lambda s: s["value"] >= rule.least)
 
 
 def scan_secrets(
@@ -215,8 +230,6 @@ def scan_secrets(
 def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``doc_id, text, carried``: the texts of ``scan_secrets`` with every span replaced
     by ``mark``; spans that overlap or touch become one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
     def step(state, s):
         covered = (s["start"] <= state["at"]) & (state["at"] > 0)
         kept = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
@@ -225,9 +238,8 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             F.when(covered, state["out"]).otherwise(F.concat(state["out"], kept, F.lit(mark))).alias("out"),
         )
 
-    clean = F.aggregate(
-        "secrets", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text")))
-    )
+    folded = F.transform(F.array(_folded(F.col("secrets"), F.lit(""), step)), lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
+    clean = F.element_at(folded, 1)
     return found.select("doc_id", F.when(F.size("secrets") == 0, F.col("text")).otherwise(clean).alias("text"), "carried")
 
 

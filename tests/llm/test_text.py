@@ -282,6 +282,14 @@ def test_shuffled_candidates(spark, monkeypatch):
     assert {r.doc_id: r.spans for r in secret_scan.secret_report(made).collect()} == {i: spans(t) for i, t in enumerate(SECRETS)}
 
 
+def test_very_many_secrets(spark):
+    text = " ".join(f"{i:016x}" for i in range(700)) + " token = 'abcdefghijklmnop'"
+    made = spark.createDataFrame([(1, text)], KINDS)
+    assert secret_scan.secret_report(made).first().spans == spans(text)
+    masked = secret_scan.redact(secret_scan.scan_secrets(made)).first().text
+    assert masked == " ".join(["[SECRET]"] * 701) + "'"
+
+
 def test_redact(spark):
     made = spark.createDataFrame(list(enumerate(SECRETS)), KINDS)
     got = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.scan_secrets(made)).collect()}

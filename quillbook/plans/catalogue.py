@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions import histogram as H
 from ..operators import book, decide, diff, directory, feed, fold, lifecycle, stats, views, workload
+from ..sources import framed
+from ..streaming import book_stream
 from . import oracle as O
+from . import scratch
 from .session import Stream, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +72,23 @@ def decode_roundtrip(s):
     return bodies.select("idx", *[got[c] for c in _ROUND[1:]])
 
 
+_WIRE = "type IN ('A', 'E', 'X', 'D', 'U', 'H') AND (ref IS NOT NULL OR type IN ('A', 'H'))"
+
+
+@query(O.on_events(
+    f"SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, 'Ok' AS status, {', '.join(_ROUND[1:]).replace('side', _WIRE_SIDE)} FROM m WHERE {_WIRE}"
+))
+@_on()
+def framed_scan(s):
+    """Messages written as framed binary files, scanned and decoded again."""
+    rows = s.messages.where(_WIRE)
+    fields = {c: F.col(c) for c in ("type", "locate", "ts_ns", "ref", "new_ref", "side", "shares", "price", "state")}
+    path = f"{scratch.folder(rows.sparkSession)}/frames-{uuid.uuid4().hex}".removeprefix("file://")
+    framed.write_framed(rows.select("idx", codec.encoded(fields | {"tracking": F.lit(0)}).alias("body")), path)
+    read = rows.sparkSession.read.format("framed").option("path", path).load()
+    return framed.decode(framed.in_order(read)).select("idx", "status", *_ROUND[1:])
+
+
 _STATUS = """
 SELECT status, kind AS type, count(*) AS n FROM (
   SELECT kind, CASE WHEN len = 0 THEN 'Empty' WHEN kind = 'z' THEN 'UnknownType' WHEN len < need THEN 'Truncated' WHEN kind = 'P' THEN 'Other' ELSE 'Ok' END AS status
@@ -475,6 +496,20 @@ def order_digest(spark, sf_dir):
     return spark.createDataFrame([(value, n)], "digest string, orders long")
 
 
+@query(O.on_events("SELECT idx, locate, bid_px, bid_qty, ask_px, ask_qty FROM post", touch=True))
+@_on("touch")
+def streamed_tops(s):
+    """The top of book from the streaming engine, in two micro-batches with kept state."""
+    return book_stream.replayed(s.messages).select("idx", "locate", *diff.TOP)
+
+
+@query(O.on_events(_TAKEN, touch=True, more=_DECIDED.format(cooldown=QUIET)))
+@_on("touch")
+def streamed_orders(s):
+    rows = book_stream.replayed(s.messages, strategy=decide.Strategy(cooldown=QUIET)).where("action IS NOT NULL")
+    return rows.select("idx", "locate", "action", F.col("order_price").alias("price"), F.col("order_qty").alias("qty"))
+
+
 # -- comparison ----------------------------------------------------------------
 
 

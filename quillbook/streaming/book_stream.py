@@ -8,6 +8,7 @@ same rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.decide import BUY, SELL, Strategy
 from ..operators.fold import Book
 from ..operators.lifecycle import is_book
+from ..plans import scratch
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RESULT = (
@@ -95,3 +97,20 @@ def rate_stream(messages: DataFrame, width: str = "1 second", late: str = "0 sec
     at = F.timestamp_micros(F.unix_micros(F.col("session").cast("timestamp")) + F.floor(F.col("ts_ns") / 1000))
     timed = messages.select(at.alias("at")).withWatermark("at", late)
     return timed.groupBy(F.window("at", width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+
+
+def replayed(messages: DataFrame, triggers: int = 2, strategy: Strategy = Strategy()) -> DataFrame:
+    """The result of streaming a finished table through ``book_stream``: it is cut into
+    ``triggers`` stretches of the order, and each is a micro-batch that starts from the
+    state the one before left."""
+    spark = messages.sparkSession
+    base = f"{scratch.folder(spark)}/replay-{uuid.uuid4().hex}"
+    end = (messages.agg(F.max("idx")).first()[0] or 0) + 1
+    for k in range(triggers):
+        low, high = end * k // triggers, end * (k + 1) // triggers
+        messages.where((F.col("idx") >= low) & (F.col("idx") < high)).write.mode("append").parquet(f"{base}/in")
+        live = spark.readStream.schema(messages.schema).parquet(f"{base}/in")
+        out = book_stream(live, strategy)
+        writer = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")

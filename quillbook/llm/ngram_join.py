@@ -17,8 +17,10 @@ each document, the smallest document reachable over links.
 4. *Multi-match prefixes.*  Within a family, the longer a document's postings are,
    the more its prefix is lengthened (by ``depth - 1`` tokens) and the more shared
    prefix tokens (``depth``) a pair must have before it is verified against the
-   whole sets.  Large families are cut into blocks that meet two by two, so that no
-   task holds more than two blocks; each returns a spanning forest, not pairs.
+   whole sets.  In a large family, members are first held against a hub; those that
+   link with it are one component and need not meet each other.  The others meet
+   them and each other in blocks, two by two, so that no task holds more than two
+   blocks; each pair of blocks returns a spanning forest, not pairs.
 5. *Components* over the forests, carried to all rows.
 """
 
@@ -42,9 +44,10 @@ from .components import components
 #: trillion tokens that makes 32 million, 256 MB; packed blocks never get tiny.
 CHUNK_TOKENS, BLOCK_TOKENS = 1 << 19, 1 << 10
 #: Most classes whose copies, and tokens whose postings, are resolved by broadcast.
-HEAVY_CLASSES, HEAVY_TOKENS = 10_000, 4096
-#: Documents of a block of a large family.
-BLOCK = 256
+HEAVY_CLASSES, HEAVY_TOKENS = 10_000, 32_768
+#: Documents of a block of a large family, and large families whose hubs' sets may be
+#: broadcast.
+BLOCK, HUB_FAMILIES = 256, 2000
 #: Postings per required match, and the most matches that are required (a power of two).
 POSTINGS, DEEPEST = 64, 16
 
@@ -385,6 +388,32 @@ def _prefixes(num: int, den: int):
     return run
 
 
+def _near_hub(num: int, den: int):
+    """``doc_id, hub`` of the rows whose set links with their family's hub."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                one, two = (np.sort(np.frombuffer(x, "<u8")) for x in (r.tokens, r.hub_tokens))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if den * both >= num * (r.n + r.hub_n - both):
+                    out.append((r.doc_id, r.hub))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _hub_links(placed: DataFrame, families: int, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` of the large families' members with their family's hub, its
+    smallest member, after which the family is named (the hub links with itself)."""
+    hubs = placed.where("doc_id = component").select(
+        "component", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens")
+    )
+    met = placed.join(F.broadcast(hubs) if families <= HUB_FAMILIES else hubs, "component")
+    return met.select("doc_id", "n", "tokens", "hub", "hub_n", "hub_tokens").mapInPandas(_near_hub(num, den), "a long, b long")
+
+
 def _edges(members: DataFrame, num: int, den: int) -> DataFrame:
     """Links ``a, b`` that span the components of the classes in ``members``."""
     entries = scratch.table(members.mapInPandas(_prefixes(num, den), "doc_id long, token long"), "prefixes")
@@ -392,21 +421,34 @@ def _edges(members: DataFrame, num: int, den: int) -> DataFrame:
     stars = entries.join(hubs, "token").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     families = scratch.table(components(stars).withColumnRenamed("id", "doc_id"), "families")
     large = families.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    large = scratch.table(large.select("component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "large")
-    placed = (
-        members.join(families, "doc_id")
-        .join(scratch.small_side(large), "component", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = scratch.table(large.select("component"), "large")
+    n_large = large.count()
+    placed = scratch.table(members.join(families, "doc_id"), "placed")
+    in_large = placed.join(scratch.small_side(large, n_large), "component", "left_semi")
+    near = scratch.table(_hub_links(in_large, n_large, num, den), "hub_links")
+    # members that link with the hub are one component already: their blocks need not
+    # meet each other.  Blocks of the others have the lower numbers.
+    core = near.select(F.col("a").alias("doc_id"), F.lit(1).alias("core"))
+    placed = placed.join(scratch.small_side(core), "doc_id", "left").withColumn("core", F.coalesce("core", F.lit(0)))
+    sizes = placed.join(scratch.small_side(large, n_large), "component", "left_semi").groupBy("component").agg(
+        F.ceil(F.count_if(F.col("core") == 0) / BLOCK).cast("int").alias("others"), F.ceil(F.sum("core") / BLOCK).cast("int").alias("cores")
+    )
+    placed = placed.join(scratch.small_side(sizes, n_large), "component", "left")
+    others, cores = F.coalesce("others", F.lit(1)), F.coalesce("cores", F.lit(0))
+    dealt = F.xxhash64("doc_id")
+    block = F.when(F.col("core") == 0, F.pmod(dealt, others)).otherwise(others + F.pmod(dealt, F.greatest(cores, F.lit(1))))
+    partners = F.when(F.col("core") == 0, others + cores).otherwise(others)
+    groups = (
+        placed.withColumn("block", block.cast("int")).withColumn("partners", partners).where("partners > 0")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("partners") - 1)))
         .select(
             F.col("component").alias("family"), F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
             "block", "doc_id", "n", "tokens", "frequencies",
         )
     )
     keys = ["family", "left", "right"]
-    dealt = placed.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(_links(num, den), "a long, b long")
+    rows = groups.repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInPandas(_links(num, den), "a long, b long").unionByName(near)
 
 
 def _blobs(batch: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import features
 
 #: The bound of the training sample.
-PER_LABEL = 3000
+PER_LABEL = 2000
 #: A document counts as good from this score on.
 THRESHOLD = 0.3
 _WORD_BITS, _GRAM_BITS, _GRAMS = 16, 15, (3, 4)

@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from quillbook.llm import exact_dedup, line_dedup, ngram_join
 from quillbook.llm.components import components

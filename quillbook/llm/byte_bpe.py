@@ -24,6 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+from .memory import tidy
+
 #: Pieces, and pairs of tokens, that one Python worker remembers.
 MEMO = 300_000
 #: Rows that a worker turns at a time: ids and bytes of whole texts are in them.
@@ -167,6 +170,7 @@ class _Vocabulary:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``: the token ids of every whole text.  Null and empty texts
     have no ids; repeated rows and null ids stay; other columns are ignored."""
+    scratch.bounded_batches(docs.sparkSession)
     vocabulary = _Vocabulary(docs, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +184,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -197,7 +201,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             )
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def token_report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .memory import tidy
 
 #: Misra-Gries counters per partition, and the most digests that are broadcast.
 COUNTERS = 4096
@@ -68,7 +69,7 @@ def exact_dedup(
     rank = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
     out = ["doc_id", "keep_id", "group_size", F.col("uid").eqNullSafe(F.col("keep_uid")).alias("kept"), "text_sha256"]
 
-    summary = rows.select("text_sha256").mapInPandas(_misra_gries(counters), "text_sha256 string, seen long")
+    summary = rows.select("text_sha256").mapInPandas(tidy(_misra_gries(counters)), "text_sha256 string, seen long")
     frequent = (
         summary.groupBy("text_sha256").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "text_sha256").limit(counters)
     )

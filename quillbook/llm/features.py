@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .memory import tidy
 
 _SPREAD = np.uint32(0x9E3779B1)
 _SPACE = np.zeros(256, bool)
@@ -85,6 +86,6 @@ def training_rows(texts: DataFrame, label: str, featurise: Featurise) -> list[tu
 
     kinds = dict(texts.dtypes)
     schema = f"doc_id {kinds['doc_id']}, label {kinds[label]}, i binary, s binary"
-    rows = texts.select("doc_id", F.col(label).alias("label"), "text").mapInPandas(reduce, schema)
+    rows = texts.select("doc_id", F.col(label).alias("label"), "text").mapInPandas(tidy(reduce), schema)
     found = sorted(rows.collect(), key=lambda r: (str(r["doc_id"]), r["i"]))  # bounded by the sample
     return [(r["label"], np.frombuffer(r["i"], "<i4").astype(np.int64), np.frombuffer(r["s"], "<f4")) for r in found]

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import features
+from . import features, scratch
+from .memory import release
 
 #: Languages by family; a language of no family here is a family of its own.
 FAMILIES = {
@@ -124,6 +125,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 4, hel
 def predict(docs: DataFrame, model: LanguageModel, text: Column | str = "text") -> Column:
     """A struct ``lang_pred, score`` for a text column of ``docs``: ``und`` and 0
     where the text is null or has no letter (or nothing could be learned)."""
+    scratch.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -132,6 +134,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: Column | str = "text")
         for batch in batches:
             found = [("und", 0.0) if t is None else model.predict(t) for t in batch]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
+        release()
 
     text = F.col(text) if isinstance(text, str) else text
     return run(F.when(text.rlike(r"\p{L}"), text))

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
+from .memory import tidy
 
 #: Tokens of a packed chunk of documents, and of a hash range: this many at least,
 #: and so many that a chunk has ``BLOCK_TOKENS`` in each range on average.  At a
@@ -266,7 +267,7 @@ def _linkable(rows: DataFrame, read: Reader, total: int, heavy: list[tuple[int,
     shares = max(16, -(-total // width))
     often = {t & (2**64 - 1): max(2, min(seen, 2**32 - 1)) for t, seen in heavy}
     order = np.sort(np.array(list(often), np.uint64))
-    blocks = rows.mapInPandas(_deal(read, order, shares, width), _BLOCKS)
+    blocks = rows.mapInPandas(tidy(_deal(read, order, shares, width)), _BLOCKS)
     counted = blocks.groupBy("share").applyInPandas(_count(shares), _BLOCKS)
     return counted.groupBy("chunk").applyInPandas(_gather(num, den, often), _MEMBERS)
 
@@ -416,7 +417,7 @@ def _hub_links(placed: DataFrame, families: int, num: int, den: int) -> DataFram
 
 def _edges(members: DataFrame, num: int, den: int) -> DataFrame:
     """Links ``a, b`` that span the components of the classes in ``members``."""
-    entries = scratch.table(members.mapInPandas(_prefixes(num, den), "doc_id long, token long"), "prefixes")
+    entries = scratch.table(members.mapInPandas(tidy(_prefixes(num, den)), "doc_id long, token long"), "prefixes")
     hubs = entries.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     stars = entries.join(hubs, "token").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     families = scratch.table(components(stars).withColumnRenamed("id", "doc_id"), "families")
@@ -448,7 +449,7 @@ def _edges(members: DataFrame, num: int, den: int) -> DataFrame:
     )
     keys = ["family", "left", "right"]
     rows = groups.repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInPandas(_links(num, den), "a long, b long").unionByName(near)
+    return rows.mapInPandas(tidy(_links(num, den)), "a long, b long").unionByName(near)
 
 
 def _blobs(batch: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -471,7 +472,7 @@ def jaccard_components(
     num, den = threshold
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
-    sets = scratch.table(rows.mapInPandas(_sets(words), _SETS), "sets")
+    sets = scratch.table(rows.mapInPandas(tidy(_sets(words)), _SETS), "sets")
     key = ["n", "h1", "h2"]
     of_docs = sets.where("kind = 0").select(F.col("id").alias("doc_id"), "known", *key)
     classes = of_docs.where("known AND n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))

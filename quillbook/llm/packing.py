@@ -27,6 +27,7 @@ from tokenizers import Tokenizer
 
 from . import scratch
 from .byte_bpe import _Memo, parts
+from .memory import tidy
 
 SEQUENCE = 2048
 #: Rounds of multiplicative weights, and how fast the weights fall.
@@ -96,6 +97,7 @@ def tokenise(
     must drop spaces and line feeds and never merge across them, as one with word
     ends does: words are encoded once and remembered.
     """
+    scratch.bounded_batches(docs.sparkSession)
     with open(tokenizer_path, "rb") as file:
         blob = file.read()
     shared, digest = docs.sparkSession.sparkContext.broadcast(blob), hashlib.sha256(blob).hexdigest()
@@ -125,7 +127,7 @@ def tokenise(
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 # -- the program over the histogram ------------------------------------------
@@ -272,7 +274,7 @@ def _placed(spark: SparkSession, ranked: DataFrame, table: pd.DataFrame) -> Data
             yield batch.drop(columns="rank")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("rank").schema)
-    return ranked.mapInPandas(run, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInPandas(tidy(run), f"{fields}, sequence_id long, offset long")
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import features
+from . import features, scratch
+from .memory import release
 
 #: The bound of the training sample.
 PER_LABEL = 2000
@@ -88,6 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, folds:
 
 def score(docs: DataFrame, model: QualityModel, text: Column | str = "text") -> Column:
     """The score of a text column (null counts as empty)."""
+    scratch.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -95,6 +97,7 @@ def score(docs: DataFrame, model: QualityModel, text: Column | str = "text") ->
         model = shared.value
         for batch in batches:
             yield pd.Series([model.score(t or "") for t in batch], dtype="float64")
+        release()
 
     return run(F.col(text) if isinstance(text, str) else text)
 

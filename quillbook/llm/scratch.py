@@ -1,28 +1,32 @@
-"""Intermediate tables: as in the rest of the library, written in smaller Arrow batches."""
+"""Intermediate tables, as in the rest of the library, and small Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..plans import scratch as _shared
 from ..plans.scratch import folder, forget, small_side
 
-__all__ = ["folder", "forget", "rows_that_may_be_broadcast", "small_side", "table"]
+__all__ = ["bounded_batches", "folder", "forget", "rows_that_may_be_broadcast", "small_side", "table"]
 
-#: Rows that a Python worker gets at once while a table is written: whole texts are
-#: in them, and both sides of the pipe hold a batch.
-BATCH_ROWS = 1000
-_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that a Python worker gets at once: whole texts are in them, and both
+#: sides of the pipe hold a batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to ``BATCH`` where they are higher.
+    They hold when a table is computed, which for a lazy result is after the operator
+    returned; so they stay."""
+    for key, bound in BATCH.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= bound:
+            spark.conf.set(key, str(bound))
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
-    conf = df.sparkSession.conf
-    before = conf.get(_KEY)
-    conf.set(_KEY, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
-    try:
-        return _shared.table(df, label)
-    finally:
-        conf.set(_KEY, before)
+    bounded_batches(df.sparkSession)
+    return _shared.table(df, label)
 
 
 def rows_that_may_be_broadcast() -> int:

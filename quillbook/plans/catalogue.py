@@ -519,7 +519,14 @@ def _mutant(s: Stream) -> Stream:
     return s.__dict__["_mutant"]
 
 
-@query()
+_PARTS = ", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{c}' END" for c in diff.TOP)
+
+
+@query(O.on_events(
+    f"SELECT * FROM (SELECT coalesce(a.idx, b.idx) AS idx, a.locate, a.type, concat_ws(',', {_PARTS}) AS what FROM post a FULL JOIN post_2 b ON a.idx = b.idx) "
+    "WHERE what <> '' ORDER BY idx LIMIT 1",
+    more=O.twice("NOT (type = 'X' AND idx % 5 = 0)"),
+))
 @_on()
 def book_diff(s):
     """Where a book that loses some cancels parts from the right one."""

@@ -7,6 +7,8 @@ a range join: other ways than the DataFrame plans take.
 
 from __future__ import annotations
 
+import re
+
 
 def _events(touch: bool) -> str:
     price = (
@@ -144,6 +146,15 @@ def on_events(select: str, touch: bool = False, more: str = "") -> str:
     return f"WITH RECURSIVE {_events(touch)}, {_LIFE}{',' + more if more else ''}\n{select}"
 
 
+_NAMES = "m cand ends dead chain life eff rem dep steps seg book post pre running stated bucketed asked dist sig".split()
+
+
+def twice(mutation: str) -> str:
+    """A second chain over the messages that ``mutation`` keeps; its tables end in ``_2``."""
+    renamed = re.sub(rf"\b({'|'.join(_NAMES)})\b", r"\1_2", _LIFE)
+    return f" m_2 AS (SELECT * FROM m WHERE {mutation}), {renamed}"
+
+
 def on_orders(select: str) -> str:
     return f"WITH RECURSIVE {ORDERS}, {_LIFE}\n{select}"
 

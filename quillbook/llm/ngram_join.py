@@ -233,8 +233,9 @@ def _needed(n: np.ndarray | int, num: int, den: int):
     return -(-num * n // den)
 
 
-def _gather(num: int, den: int, often: dict[int, int]):
-    """Of one chunk: each document's shared tokens, rarest first, if they are enough."""
+def _gather(num: int, den: int, often: dict[int, int], final: bool):
+    """Of one chunk: each document's shared tokens, if they are enough; ``final``:
+    rarest first, with their frequencies, else packed."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         head = group[group["meta"].str.len() > 0].iloc[0]
@@ -252,24 +253,27 @@ def _gather(num: int, den: int, often: dict[int, int]):
         tokens, places, frequency = tokens[order], places[order], frequency[order]
         who = np.flatnonzero(enough)
         cuts = np.searchsorted(places, np.append(who, len(ids)))
-        rows = [
-            (int(ids[k]), int(sizes[k]), tokens[a:b].tobytes(), frequency[a:b].tobytes())
-            for k, a, b in zip(who.tolist(), cuts[:-1], cuts[1:], strict=True)
-        ]
+        rows = []
+        for k, a, b in zip(who.tolist(), cuts[:-1], cuts[1:], strict=True):
+            blobs = (tokens[a:b].tobytes(), frequency[a:b].tobytes()) if final else (_pack(np.sort(tokens[a:b])), b"")
+            rows.append((int(ids[k]), int(sizes[k]), *blobs))
         return pd.DataFrame(rows, columns=["doc_id", "n", "tokens", "frequencies"])
 
     return run
 
 
-def _linkable(rows: DataFrame, read: Reader, total: int, heavy: list[tuple[int, int]], num: int, den: int) -> DataFrame:
-    """``doc_id, n, tokens, frequencies`` of the sets that share enough tokens with others."""
+def _linkable(
+    rows: DataFrame, read: Reader, total: int, heavy: list[tuple[int, int]], num: int, den: int, final: bool
+) -> DataFrame:
+    """``doc_id, n, tokens, frequencies`` of the sets that share enough tokens with others
+    (tokens packed and no frequencies unless ``final``)."""
     width = max(CHUNK_TOKENS, math.isqrt(BLOCK_TOKENS * total))
     shares = max(16, -(-total // width))
     often = {t & (2**64 - 1): max(2, min(seen, 2**32 - 1)) for t, seen in heavy}
     order = np.sort(np.array(list(often), np.uint64))
     blocks = rows.mapInPandas(tidy(_deal(read, order, shares, width)), _BLOCKS)
     counted = blocks.groupBy("share").applyInPandas(_count(shares), _BLOCKS)
-    return counted.groupBy("chunk").applyInPandas(_gather(num, den, often), _MEMBERS)
+    return counted.groupBy("chunk").applyInPandas(_gather(num, den, often, final), _MEMBERS)
 
 
 # -- within families -----------------------------------------------------------
@@ -454,7 +458,7 @@ def _edges(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def _blobs(batch: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
     for r in batch.itertuples(index=False):
-        yield r.doc_id, r.n, np.frombuffer(r.tokens, "<u8")
+        yield r.doc_id, r.n, _unpack(r.tokens, "<u8")
 
 
 def jaccard_components(
@@ -491,12 +495,12 @@ def jaccard_components(
                 yield doc, len(tokens), tokens
 
     total = of_docs.agg(F.sum("n")).first()[0] or 0
-    linkable = _linkable(rows.where("known").drop("known"), read, total, frequent, num, den)
+    linkable = _linkable(rows.where("known").drop("known"), read, total, frequent, num, den, final=False)
     # one row per class goes on; among those, frequencies are counted anew
     reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), "n").distinct(), ["doc_id", "n"], "left_semi")
-    reps = scratch.table(reps.dropDuplicates(["doc_id", "n"]), "reps")
+    reps = scratch.table(reps.select("doc_id", "n", "tokens").dropDuplicates(["doc_id", "n"]), "reps")
     again = reps.agg(F.sum("n")).first()[0] or 0
-    members = scratch.table(_linkable(reps, _blobs, again, frequent, num, den), "members")
+    members = scratch.table(_linkable(reps, _blobs, again, frequent, num, den, final=True), "members")
     linked = scratch.table(components(_edges(members, num, den)), "linked").withColumnRenamed("id", "rep")
 
     named = F.coalesce("component", "rep").alias("component_id")

@@ -3,10 +3,12 @@
 Only the histogram of lengths (at most ``SEQUENCE`` numbers) reaches the driver,
 however many documents there are.  There the covering program over packings of
 one sequence is solved by multiplicative weights: each round prices lengths by
-their weights, a knapsack dynamic program finds the packing that is worth most,
-and the weights of the lengths that it covers fall.  The fractional solution is
-rounded down, and best fit, longest first, on the histogram packs the rest.  The
-result, a table of slots by length, is broadcast (its size is bounded by the
+their weights, a knapsack dynamic program bounded by the counts finds the packings
+that are worth most, and the weights of the lengths that they cover fall, until every
+length is covered and the solution is within a stated share of a lower bound.  The
+fractional solution is rounded, and best fit, longest first, on the histogram packs
+the rest.  Plain best fit is tried as well and stays only if it has fewer sequences.
+The result, a table of slots by length, is broadcast (its size is bounded by the
 sequence length, not by the data), and every piece takes the slot of its rank
 among the pieces of its length.
 """
@@ -30,11 +32,13 @@ from .byte_bpe import _Memo, parts
 from .memory import tidy
 
 SEQUENCE = 2048
-#: Rounds of multiplicative weights, and how fast the weights fall.
-ROUNDS, STEP = 250, 0.35
-#: Roundings that are tried: a share of the fractional solution, and whether only
-#: packings without room left are taken from it.  The one with the fewest sequences stays.
-ROUNDINGS = ((1.0, False), (0.9, True), (0.5, True), (0.2, True), (0.05, True), (0.01, True))
+#: The program is solved to within ``ACCURACY`` of its lower bound, in ``ROUNDS`` rounds at
+#: most; the first ``FINE_ROUNDS`` rounds end before only within ``FINE``.
+ACCURACY, ROUNDS = 0.1, 3000
+FINE, FINE_ROUNDS = 0.01, 500
+#: How fast the weights fall with coverage, the most that a length is covered by in a
+#: round, and what packings must be worth to be taken, as a share of the best.
+SHARPNESS, STEP, NEARLY = 40.0, 0.1, 0.9
 #: Words that a task remembers.
 WORDS = 400_000
 #: The pieces of a length are dealt into shares of about this many to be ranked, or
@@ -133,21 +137,78 @@ def tokenise(
 # -- the program over the histogram ------------------------------------------
 
 
-def _price(value: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack: how often each length (1 to ``capacity``) is in the packing worth most."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for room in range(1, capacity + 1):
-        worth = best[room - 1 :: -1] + value[1 : room + 1]  # with one more of length 1, 2, ...
-        at = int(np.argmax(worth))
-        if worth[at] > best[room - 1]:
-            best[room], last[room] = worth[at], at + 1
-        else:
-            best[room], last[room] = best[room - 1], 0
-    times, room = np.zeros(capacity + 1, np.int64), capacity
-    while room > 0:
-        times[last[room]] += last[room] > 0
-        room -= max(1, last[room])
-    return times
+def _priced(value: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[float, dict[tuple, float]]:
+    """Bounded knapsack: what the packing worth most is worth, and packings with what
+    they are worth: that one, and for each length the best with one of it.  None has a
+    length more often than it exists."""
+    best, items, lengths = np.zeros(capacity + 1), [], np.flatnonzero(counts)
+    worth = np.empty(capacity + 1)
+    for length in lengths.tolist():
+        most, times = min(int(counts[length]), capacity // length), 1
+        while most > 0:  # 1, 2, 4, ... of a length are items of their own
+            times = min(times, most)
+            room = times * length
+            old, new = best[room:], worth[room:]
+            np.add(best[: capacity + 1 - room], times * value[length], out=new)
+            better = new > old
+            np.maximum(old, new, out=old)
+            items.append((length, times, room, better))
+            most, times = most - times, times * 2
+    rooms = np.append(capacity - lengths, capacity)
+    taken: list[dict[int, int]] = [{} for _ in rooms]
+    widest = int(rooms.max())
+    for length, times, room, better in reversed(items):
+        if room > widest:
+            continue
+        fits = (rooms >= room).nonzero()[0]
+        fits = fits[better[rooms[fits] - room]]
+        if fits.size:
+            rooms[fits] -= room
+            widest = int(rooms.max())
+            for i in fits.tolist():
+                taken[i][length] = taken[i].get(length, 0) + times
+    out = {tuple(sorted(taken[-1].items())): float(best[capacity])}
+    for length, packing in zip(lengths.tolist(), taken):
+        packing[length] = packing.get(length, 0) + 1
+        if packing[length] <= counts[length]:
+            out[tuple(sorted(packing.items()))] = float(value[length] + best[capacity - length])
+    return float(best[capacity]), out
+
+
+def program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
+    """A fractional solution that covers every length, and a lower bound of the program.
+
+    A round prices lengths by how little they are covered, and takes all packings worth
+    nearly the most, each in small shares.  Any prices bound the program from below: what
+    all pieces are worth over what the best packing is worth.  It ends when the solution,
+    scaled by its least coverage, is within ``ACCURACY`` of the best bound (``FINE`` in
+    the first rounds).
+    """
+    present = np.flatnonzero(counts)
+    bound = float((counts * np.arange(capacity + 1)).sum()) / capacity
+    covered, found, total = np.zeros(capacity + 1), {}, 0.0
+    for at in range(rounds):
+        value, now = np.zeros(capacity + 1), covered[present]
+        behind = np.exp(-SHARPNESS * (now - now.min()) / now.mean()) if total else present * counts[present]
+        value[present] = behind / counts[present]
+        most, packings = _priced(value, counts, capacity)
+        bound = max(bound, float((value * counts).sum()) / most)
+        chosen = [key for key, worth in packings.items() if worth >= NEARLY * most]
+        load = np.zeros(capacity + 1)
+        for key in chosen:
+            for length, times in key:
+                load[length] += times / counts[length]
+        for key in chosen:
+            size = STEP / max(load[length] for length, _ in key)
+            found[key] = found.get(key, 0.0) + size
+            total += size
+            for length, times in key:
+                covered[length] += size * times / counts[length]
+        least = float(covered[present].min())
+        if least > 0 and total / least <= (1 + (FINE if at < FINE_ROUNDS else ACCURACY)) * bound:
+            break
+    least = max(float(covered[present].min()), 1e-9)
+    return {key: much / least for key, much in found.items()}, bound
 
 
 def solve(histogram: dict[int, int], capacity: int = SEQUENCE, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
@@ -155,39 +216,29 @@ def solve(histogram: dict[int, int], capacity: int = SEQUENCE, rounds: int = ROU
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    if left.any():
-        present = left > 0
-        weight = np.where(present, 1.0, 0.0)
-        found: dict[tuple, float] = {}
-        covered = np.zeros(capacity + 1)
-        for _ in range(rounds):
-            times = _price(np.where(present, weight / np.maximum(left, 1), 0.0), capacity)
-            used = times > 0
-            # the step in which the scarcest length of the packing is covered once over a share of the rounds
-            size = float((left[used] / times[used]).min()) * STEP
-            covered[used] += size * times[used] / left[used]
-            key = tuple((int(k), int(times[k])) for k in np.flatnonzero(used))
-            found[key] = found.get(key, 0.0) + size
-            weight[used] *= np.exp(-size * times[used] / left[used])
-            weight[present] /= weight.max()
-        scale = 1.0 / max(1e-9, float((covered[present] * left[present]).sum() / left[present].sum()))
-        tried = [_rounded(found, left, capacity, scale * part, whole) for part, whole in ROUNDINGS]
-        return min(tried, key=lambda packings: sum(n for _, n in packings))
-    return []
-
-
-def _rounded(found: dict[tuple, float], left: np.ndarray, capacity: int, scale: float, whole: bool) -> list[tuple[dict[int, int], int]]:
-    """The fractional packings ``found`` times ``scale``, rounded down; best fit packs the rest."""
-    left, packings = left.copy(), []
-    for key, much in sorted(found.items(), key=lambda x: (-sum(k * n for k, n in x[0]), -x[1], x[0])):
+    if not left.any():
+        return []
+    found, _ = program(left, capacity, rounds)
+    tried = [taken + _best_fit(rest, capacity) for taken, rest in (_rounded(found, left, capacity, whole) for whole in (False, True))]
+    return min([*tried, _best_fit(left, capacity)], key=lambda packings: sum(n for _, n in packings))
+
+
+def _rounded(found: dict[tuple, float], left: np.ndarray, capacity: int, whole: bool) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """The fractional packings in whole sequences, and the counts that are left: what is
+    below one is carried to the next packing, so that small shares add up.  Fullest go
+    first; ``whole`` takes only those without room left."""
+    left, packings, carried = left.copy(), [], 0.0
+    for key, much in sorted(found.items(), key=lambda x: (-sum(k * n for k, n in x[0]), x[0][::-1])):
         if whole and sum(k * times for k, times in key) < capacity:
             break
-        n = min(int(much * scale), min(int(left[k]) // times for k, times in key))
+        carried += much
+        n = min(int(carried), min(int(left[k]) // times for k, times in key))
+        carried = min(carried - n, 1.0)
         if n > 0:
             packings.append((dict(key), n))
             for k, times in key:
                 left[k] -= n * times
-    return packings + _best_fit(left, capacity)
+    return packings, left
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -71,6 +71,34 @@ def test_linear_program_beats_best_fit():
     assert packing.solve({}, 10) == [] and fills(packing.solve({10: 7}, 10), 10)[1] == 7
 
 
+def test_program_of_many_lengths():
+    # triples that fill a sequence; best fit, longest first, tears them apart
+    rng, histogram = random.Random(5), collections.Counter()
+    for _ in range(60):
+        a, b = rng.randint(260, 400), rng.randint(260, 400)
+        histogram.update({k: 20 * n for k, n in collections.Counter((a, b, 1000 - a - b)).items()})
+    counts = np.zeros(1001, np.int64)
+    for k, n in histogram.items():
+        counts[k] = n
+    found, bound = packing.program(counts, 1000)
+    covered = collections.Counter()
+    for key, much in found.items():
+        assert sum(k * n for k, n in key) <= 1000 and all(n <= histogram[k] for k, n in key)
+        for k, n in key:
+            covered[k] += n * much
+    assert all(covered[k] >= n * (1 - 1e-9) for k, n in histogram.items())
+    assert bound <= 1200 + 1e-6 and sum(found.values()) <= bound * (1 + packing.ACCURACY) + 1e-6
+    held, used = fills(packing.solve(histogram, 1000), 1000)
+    assert held == histogram and used <= 1235 < fills(packing._best_fit(counts, 1000), 1000)[1]
+
+
+def test_program_takes_no_more_than_there_is():
+    counts = np.zeros(101, np.int64)
+    counts[[3, 40, 55]] = 1, 2, 5
+    found, _ = packing.program(counts, 100)
+    assert all(n <= counts[k] for key in found for k, n in key)
+
+
 def checked(rows, sequence=packing.SEQUENCE):
     of = collections.defaultdict(list)
     for r in rows:

@@ -81,6 +81,14 @@ def lifetimes(life: DataFrame) -> DataFrame:
     return life.where("died IS NOT NULL").select("end_kind", (F.col("died_ns") - F.col("born_ns")).alias("lifetime"))
 
 
+def elapsed(messages: DataFrame, life: DataFrame) -> DataFrame:
+    """``end_kind, days, lifetime`` of every dead order, whichever session it died in:
+    the days between its sessions, and nanoseconds that include them."""
+    ends = messages.select(F.col("idx").alias("died"), F.col("session").alias("died_session"))
+    met = life.where("died IS NOT NULL").join(ends, "died").withColumn("days", F.datediff("died_session", "session").cast("long"))
+    return met.select("end_kind", "days", (F.col("days") * (86_400 * NS) + F.col("died_ns") - F.col("born_ns")).alias("lifetime"))
+
+
 def rate_windows(messages: DataFrame, width: int) -> DataFrame:
     """``session, win, n`` of the windows of regular hours that have messages."""
     rows = messages.where(regular(F.col("ts_ns")))

@@ -257,7 +257,8 @@ def coverage(s):
     return workload.coverage(H.histogram(_distances(s).where("ticks IS NOT NULL"), F.col("ticks"), "kind"))
 
 
-# sessions fall back at midnight: a lifetime is taken within a session only
+# times of day only, as this SQL has it: deaths in a later session count without the days between, or not at
+# all where they come at an earlier time of day; lifetime_elapsed_* and order_ends hold every death
 _LIVED = "FROM (SELECT end_kind, died_ns - born_ns AS lifetime FROM life WHERE died IS NOT NULL) WHERE lifetime >= 0"
 
 
@@ -291,6 +292,53 @@ def lifetime_quantiles(s):
     return H.quantiles(hist, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, "end_kind")
 
 
+_ELAPSED = (
+    "FROM (SELECT end_kind, d.session - l.session AS days, (d.session - l.session) * 86400000000000 + died_ns - born_ns AS lifetime "
+    "FROM life l JOIN m d ON d.idx = l.died)"
+)
+
+
+def _elapsed(s: Stream) -> DataFrame:
+    return H.histogram(workload.elapsed(s.messages, s.life), F.col("lifetime"), "end_kind")
+
+
+@query(O.on_events(f"SELECT end_kind, {O.bucket('lifetime')} AS bucket, count(*) AS n {_ELAPSED} GROUP BY ALL"))
+@_on()
+def lifetime_elapsed_hist(s):
+    """Lifetimes of all dead orders, over sessions."""
+    return _elapsed(s).select("end_kind", "bucket", "n")
+
+
+@query(O.on_events(
+    "SELECT end_kind, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {O.highest('b')} <= {v}) AS {k}" for k, v in _BOUNDS.items())
+    + f" FROM (SELECT end_kind, {O.bucket('lifetime')} AS b {_ELAPSED}) GROUP BY end_kind"
+))
+@_on()
+def lifetime_elapsed_shares(s):
+    hist = _elapsed(s)
+    inside = [F.sum(F.when(H.highest_of(F.col("bucket")) <= v, F.col("n")).otherwise(0)).cast("long").alias(k) for k, v in _BOUNDS.items()]
+    return hist.groupBy("end_kind").agg(F.sum("n").cast("long").alias("n"), *inside)
+
+
+@query(O.on_events(
+    O.quantiles(f"(SELECT end_kind, lifetime {_ELAPSED})", "lifetime", "end_kind", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+))
+@_on()
+def lifetime_elapsed_quantiles(s):
+    return H.quantiles(_elapsed(s), {"p50": 0.5, "p90": 0.9, "p99": 0.99}, "end_kind")
+
+
+@query(O.on_events(
+    f"SELECT end_kind, days > 0 AS later, count(*) AS n {_ELAPSED} GROUP BY ALL UNION ALL SELECT 'live', NULL, count(*) FROM life WHERE died IS NULL HAVING count(*) > 0"
+))
+@_on()
+def order_ends(s):
+    """All orders: the dead by end, in their own or a later session, and the live."""
+    dead = workload.elapsed(s.messages, s.life).groupBy("end_kind", (F.col("days") > 0).alias("later")).agg(F.count("*").alias("n"))
+    live = s.life.where("died IS NULL").agg(F.count("*").alias("n")).where("n > 0")
+    return dead.unionByName(live.select(F.lit("live").alias("end_kind"), F.lit(None).cast("boolean").alias("later"), "n"))
+
+
 _WINDOWS = "SELECT session, (ts_ns - 34200000000000) // {w} AS win, count(*) AS n FROM m WHERE ts_ns >= 34200000000000 AND ts_ns < 57600000000000 GROUP BY ALL"
 
 

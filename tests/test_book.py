@@ -153,3 +153,15 @@ def test_windows_need_their_messages(spark):
     with pytest.raises(ValueError):
         feed.window(s.messages, workload.CLOSE, 10)
     assert Counter(r.measured for r in feed.window(s.messages, 0, 100).collect()) == {True: 100}
+
+
+def test_lifetimes_over_sessions(spark):
+    rows = [("A", 1, 1, None, "B", 10, 500), ("A", 1, 2, None, "B", 10, 500), ("A", 1, 3, None, "B", 10, 500), ("D", 1, 1, None, None, 0, None), ("D", 1, 2, None, None, 0, None)]
+    times = {0: ("2024-01-01", 50), 1: ("2024-01-01", 60), 2: ("2024-01-01", 61), 3: ("2024-01-01", 70), 4: ("2024-01-03", 10)}
+    df = messages(spark, rows)
+    session = F.coalesce(*[F.when(F.col("idx") == k, F.lit(d).cast("date")) for k, (d, _) in times.items()])
+    ts = F.coalesce(*[F.when(F.col("idx") == k, F.lit(t).cast("long")) for k, (_, t) in times.items()])
+    s = Stream(df.withColumn("session", session).withColumn("ts_ns", ts))
+    got = workload.elapsed(s.messages, s.life).orderBy("lifetime").collect()
+    assert [(r.days, r.lifetime) for r in got] == [(0, 20), (2, 2 * 86_400 * 10**9 - 50)]
+    assert len(got) + s.remaining.count() == s.life.count() == 3

@@ -4,10 +4,12 @@ Only the histogram of lengths (at most ``SEQUENCE`` numbers) reaches the driver,
 however many documents there are.  There the covering program over packings of
 one sequence is solved by multiplicative weights: each round prices lengths by
 their weights, a knapsack dynamic program bounded by the counts finds the packings
-that are worth most, and the weights of the lengths that they cover fall, until every
-length is covered and the solution is within a stated share of a lower bound.  The
-fractional solution is rounded, and best fit, longest first, on the histogram packs
-the rest.  Plain best fit is tried as well and stays only if it has fewer sequences.
+that are worth most, and the weights of the lengths that they cover fall.  The
+fractional solution, scaled by its least coverage, is rounded to whole sequences, of
+which those stay that are as full as the program's lower bound asks for; what is left
+is solved again, ``PASSES`` times in all.  Most of the shortest pieces are held back
+from the program: they are the filler that lets best fit, longest first, pack the last
+pieces with next to no room lost.
 The result, a table of slots by length, is broadcast (its size is bounded by the
 sequence length, not by the data), and every piece takes the slot of its rank
 among the pieces of its length.
@@ -32,10 +34,14 @@ from .byte_bpe import _Memo, parts
 from .memory import tidy
 
 SEQUENCE = 2048
-#: The program is solved to within ``ACCURACY`` of its lower bound, in ``ROUNDS`` rounds at
-#: most; the first ``FINE_ROUNDS`` rounds end before only within ``FINE``.
-ACCURACY, ROUNDS = 0.1, 3000
-FINE, FINE_ROUNDS = 0.01, 500
+#: The program ends within ``ACCURACY`` of its lower bound, or after it has priced so many
+#: lengths in all (a round prices every length once, and there are at most ``SEQUENCE``).
+ACCURACY, PRICED = 0.05, 60 * SEQUENCE
+#: What the rounding leaves is solved again, in so many passes in all.
+PASSES = 2
+#: Pieces of at most this share of a sequence are filler, and the share of them that the
+#: program does not see.
+FILLER, HELD = 1 / 16, 0.9
 #: How fast the weights fall with coverage, the most that a length is covered by in a
 #: round, and what packings must be worth to be taken, as a share of the best.
 SHARPNESS, STEP, NEARLY = 40.0, 0.1, 0.9
@@ -175,19 +181,20 @@ def _priced(value: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), out
 
 
-def program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
+def program(counts: np.ndarray, capacity: int, rounds: int | None = None) -> tuple[dict[tuple, float], float]:
     """A fractional solution that covers every length, and a lower bound of the program.
 
     A round prices lengths by how little they are covered, and takes all packings worth
     nearly the most, each in small shares.  Any prices bound the program from below: what
     all pieces are worth over what the best packing is worth.  It ends when the solution,
-    scaled by its least coverage, is within ``ACCURACY`` of the best bound (``FINE`` in
-    the first rounds).
+    scaled by its least coverage, is within ``ACCURACY`` of the best bound, or after
+    ``rounds`` rounds (as many as ``PRICED`` allows).
     """
     present = np.flatnonzero(counts)
+    rounds = rounds or PRICED // len(present)
     bound = float((counts * np.arange(capacity + 1)).sum()) / capacity
     covered, found, total = np.zeros(capacity + 1), {}, 0.0
-    for at in range(rounds):
+    for _ in range(rounds):
         value, now = np.zeros(capacity + 1), covered[present]
         behind = np.exp(-SHARPNESS * (now - now.min()) / now.mean()) if total else present * counts[present]
         value[present] = behind / counts[present]
@@ -205,31 +212,45 @@ def program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[di
             for length, times in key:
                 covered[length] += size * times / counts[length]
         least = float(covered[present].min())
-        if least > 0 and total / least <= (1 + (FINE if at < FINE_ROUNDS else ACCURACY)) * bound:
+        if least > 0 and total / least <= (1 + ACCURACY) * bound:
             break
     least = max(float(covered[present].min()), 1e-9)
     return {key: much / least for key, much in found.items()}, bound
 
 
-def solve(histogram: dict[int, int], capacity: int = SEQUENCE, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def solve(histogram: dict[int, int], capacity: int = SEQUENCE, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
     """Packings ``({length: times}, sequences)`` that hold the histogram exactly."""
-    left = np.zeros(capacity + 1, np.int64)
+    counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
-        left[length] = n
-    if not left.any():
-        return []
-    found, _ = program(left, capacity, rounds)
-    tried = [taken + _best_fit(rest, capacity) for taken, rest in (_rounded(found, left, capacity, whole) for whole in (False, True))]
-    return min([*tried, _best_fit(left, capacity)], key=lambda packings: sum(n for _, n in packings))
+        counts[length] = n
+    packings, rest = by_program(counts, capacity, rounds)
+    return packings + _best_fit(rest, capacity)
 
 
-def _rounded(found: dict[tuple, float], left: np.ndarray, capacity: int, whole: bool) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+def by_program(counts: np.ndarray, capacity: int, rounds: int | None = None) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """The program's own packings, and the counts that they leave."""
+    held = np.where(np.arange(capacity + 1) <= capacity * FILLER, (counts * HELD).astype(np.int64), 0)
+    left, packings = counts - held, []
+    for _ in range(PASSES):
+        if not left.any():
+            break
+        found, bound = program(left, capacity, rounds)
+        taken, left = _rounded(found, left, capacity, bound)
+        packings += taken
+    return packings, left + held
+
+
+def _rounded(found: dict[tuple, float], left: np.ndarray, capacity: int, bound: float) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
     """The fractional packings in whole sequences, and the counts that are left: what is
     below one is carried to the next packing, so that small shares add up.  Fullest go
-    first; ``whole`` takes only those without room left."""
+    first.  Of a solution that is not yet within ``ACCURACY`` of ``bound``, packings with
+    more room left than sequences have on average, were there only ``bound`` of them,
+    are not taken."""
+    solved = sum(found.values()) <= (1 + ACCURACY) * bound
+    fill = 0 if solved else int((left * np.arange(capacity + 1)).sum() / bound + 1e-6)
     left, packings, carried = left.copy(), [], 0.0
     for key, much in sorted(found.items(), key=lambda x: (-sum(k * n for k, n in x[0]), x[0][::-1])):
-        if whole and sum(k * times for k, times in key) < capacity:
+        if sum(k * times for k, times in key) < fill:
             break
         carried += much
         n = min(int(carried), min(int(left[k]) // times for k, times in key))
@@ -328,21 +349,29 @@ def _placed(spark: SparkSession, ranked: DataFrame, table: pd.DataFrame) -> Data
     return ranked.mapInPandas(tidy(run), f"{fields}, sequence_id long, offset long")
 
 
+def _placed_rows(rows: DataFrame, sequence: int) -> DataFrame:
+    """``rows`` (``uid``, ``doc_id``, ``piece``, ``length``, ...) with their places."""
+    counted = rows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``sequence`` rows
+    histogram = {r["length"]: r["n"] for r in counted}
+    return _placed(rows.sparkSession, _ranked(rows, histogram), slots(solve(histogram, sequence)))
+
+
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """``pieces`` (``doc_id, piece, length`` and any other narrow columns) with
     ``sequence_id`` and ``offset``.  Lengths are 1 to ``sequence``; offsets in a
     sequence have no gaps from 0.  Repeated rows and null ids are packed like any
     other; an empty table gives an empty result."""
     rows = scratch.table(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    counted = rows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``sequence`` rows
-    histogram = {r["length"]: r["n"] for r in counted}
-    table = slots(solve(histogram, sequence))
-    return _placed(rows.sparkSession, _ranked(rows, histogram), table).drop("uid")
+    return _placed_rows(rows, sequence).drop("uid")
 
 
-def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """``sequence_id, ids``: the packed sequences themselves, from ``tokenise`` and ``pack``."""
-    met = pieces.select("doc_id", "piece", "ids").join(placed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
+def sequences(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
+    """``sequence_id, ids``: the packed sequences themselves, of what ``tokenise`` gives.
+    Pieces are named by row, so repeated rows and null ids are packed like any other;
+    an empty table gives an empty result."""
+    rows = scratch.table(pieces.select("doc_id", "piece", "length", "ids", F.monotonically_increasing_id().alias("uid")), "pieces")
+    placed = _placed_rows(rows.drop("ids"), sequence).select("uid", "sequence_id", "offset")
+    met = rows.select("uid", "ids").join(placed, "uid")
     ordered = F.sort_array(F.collect_list(F.struct("offset", "ids")))  # at most SEQUENCE ids
     joined = F.aggregate(ordered, F.lit(b""), lambda out, x: F.concat(out, x["ids"]))
     return met.groupBy("sequence_id").agg(joined.alias("ids"))

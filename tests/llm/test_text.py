@@ -80,7 +80,7 @@ def test_program_of_many_lengths():
     counts = np.zeros(1001, np.int64)
     for k, n in histogram.items():
         counts[k] = n
-    found, bound = packing.program(counts, 1000)
+    found, bound = packing.program(counts, 1000, 3000)
     covered = collections.Counter()
     for key, much in found.items():
         assert sum(k * n for k, n in key) <= 1000 and all(n <= histogram[k] for k, n in key)
@@ -129,11 +129,27 @@ def test_packing(documents, nasty):
     assert packing.pack_report(nasty.limit(0), WORD_BPE).count() == 0
 
 
-def test_sequences(spark, documents):
-    pieces = packing.tokenise(documents.limit(20), WORD_BPE).cache()
-    placed = packing.pack(pieces.drop("ids"))
-    made = packing.sequences(pieces, placed).collect()
-    assert sum(len(r.ids) for r in made) == 4 * pieces.agg(F.sum("length")).first()[0] and all(len(r.ids) <= 4 * 2048 for r in made)
+def test_sequences(documents, nasty):
+    for table in (documents.limit(20).select("doc_id", "text"), nasty.select("doc_id", "text")):  # repeated rows and null ids too
+        pieces = packing.tokenise(table, WORD_BPE).cache()
+        made = packing.sequences(pieces).collect()
+        assert sum(len(r.ids) for r in made) == 4 * pieces.agg(F.sum("length")).first()[0] and all(len(r.ids) <= 4 * 2048 for r in made)
+    assert packing.sequences(packing.tokenise(nasty.limit(0), WORD_BPE)).count() == 0
+
+
+def test_program_packs_most(spark):
+    """On a real table most sequences are the program's own, and there are no more than
+    best fit makes, give or take one in a thousand."""
+    pieces = packing.tokenise(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), WORD_BPE)
+    counts = np.zeros(packing.SEQUENCE + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().collect():
+        counts[length] = n
+    own, rest = packing.by_program(counts, packing.SEQUENCE)
+    held, used = fills(own, packing.SEQUENCE)
+    assert all(held[k] + rest[k] == counts[k] for k in range(packing.SEQUENCE + 1))
+    last = fills(packing._best_fit(rest, packing.SEQUENCE), packing.SEQUENCE)[1]
+    plain = fills(packing._best_fit(counts, packing.SEQUENCE), packing.SEQUENCE)[1]
+    assert used > 0.5 * (used + last) and used + last <= plain * 1.001
 
 
 # -- byte-level BPE ------------------------------------------------------------

@@ -4,9 +4,12 @@
 2. A Misra-Gries summary of ``k`` counters per partition, merged by digest,
    finds every digest that holds more than ``2 N / k`` of ``N`` rows.
 3. Those candidates are counted exactly (partial aggregation leaves at most
-   ``k`` rows a task), and the verified winners, at most ``k`` rows, are
-   broadcast: rows of frequent digests are resolved map-side, without a shuffle.
-4. The remaining digests, each of them rare, go through one ordinary shuffle.
+   ``k`` rows a task).  Verified winners are those that more than ``N / k`` rows, and
+   more than one, have; they are fewer than ``k`` and are broadcast: rows of frequent
+   digests are resolved map-side, without a shuffle.
+4. The remaining digests, each of at most ``2 N / k`` rows, are shuffled: aggregated
+   (combined map-side) to one row a digest, which the rows then meet; no task holds
+   the rows of a digest.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -73,25 +76,17 @@ def exact_dedup(
     frequent = (
         summary.groupBy("text_sha256").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "text_sha256").limit(counters)
     )
-    winners = (
-        rows.join(F.broadcast(frequent.select("text_sha256")), "text_sha256")
-        .groupBy("text_sha256")
-        .agg(F.count("*").alias("group_size"), F.min_by(F.struct("doc_id", "uid"), rank).alias("keep"))
-        .select("text_sha256", "group_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"))
-    )
-    winners = scratch.table(winners, "winners")  # at most ``counters`` rows
+    best = [F.count("*").alias("group_size"), F.min_by(F.struct("doc_id", "uid"), rank).alias("keep")]
+    named = ["text_sha256", "group_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid")]
+    bound = max(rows.count() // counters, 1)
+    counted = rows.join(F.broadcast(frequent.select("text_sha256")), "text_sha256").groupBy("text_sha256").agg(*best)
+    winners = scratch.table(counted.where(F.col("group_size") > bound).select(*named), "winners")  # fewer than ``counters`` rows
 
     split = rows.join(F.broadcast(winners), "text_sha256", "left")
     heavy = split.where(F.col("keep_uid").isNotNull()).select(*out)
-    same = Window.partitionBy("text_sha256")
-    rare = (
-        rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("group_size", F.count("*").over(same))
-        .withColumn("keep", F.min(F.struct(rank.alias("rank"), "doc_id", "uid")).over(same))
-        .withColumn("keep_id", F.col("keep.doc_id"))
-        .withColumn("keep_uid", F.col("keep.uid"))
-        .select(*out)
-    )
+    others = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    groups = others.groupBy("text_sha256").agg(*best).select(*named)
+    rare = others.join(groups, "text_sha256").select(*out)
     return heavy.unionByName(rare)
 
 

@@ -39,6 +39,23 @@ def test_exact(spark, counters):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_frequent_digests_only_are_broadcast(spark, monkeypatch):
+    """Digests above the verified bound are winners; those seen once, or no oftener than
+    the bound, take the shuffle."""
+    written = {}
+    keep = exact_dedup.scratch.table
+    monkeypatch.setattr(exact_dedup.scratch, "table", lambda df, label: written.setdefault(label, keep(df, label)))
+    rows = [(i, "hot") for i in range(300)] + [(1000 + i, "warm") for i in range(30)] + [(2000 + i, f"once {i}") for i in range(300)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, KINDS).repartition(4), counters=10).collect()
+    assert [(r.group_size, r.keep_id) for r in written["winners"].collect()] == [(300, 0)]
+    assert collections.Counter(r.group_size for r in got) == {300: 300, 30: 30, 1: 300}
+    monkeypatch.undo()
+    written.clear()
+    monkeypatch.setattr(exact_dedup.scratch, "table", lambda df, label: written.setdefault(label, keep(df, label)))
+    exact_dedup.exact_dedup(spark.createDataFrame(rows, KINDS)).collect()
+    assert sorted(r.group_size for r in written["winners"].collect()) == [30, 300]  # what is seen once is never broadcast
+
+
 def test_exact_edges(spark, nasty):
     got = exact_dedup.exact_dedup(nasty).collect()
     same = [r for r in got if r.group_size == 5]

@@ -372,3 +372,10 @@ def test_urls(spark, monkeypatch):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect()} == want
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(pages, rules=(("block", "", "/"),)).collect()} == {"allow"}
+
+
+def test_url_of_very_many_labels(spark):
+    host = "a." * 10_000 + "example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/71"), (2, f"http://{host}x/en/71"), (3, "http://com/en/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect()}
+    assert got == {1: ("example.com/en/7", "allow"), 2: (None, "allow"), 3: ("com/en/", "block")}

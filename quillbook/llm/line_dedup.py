@@ -3,8 +3,9 @@
 Lines within one edit (a code point inserted, deleted or replaced) of an earlier
 line go, as do exact repeats; the earliest stays.
 
-1. Equal lines become one class (partial aggregation, so a line that is everywhere
-   is counted map-side), known by the place of its first occurrence.
+1. Lines are named by their row and number, and equal lines become one class (by
+   SHA-256; partial aggregation, so a line that is everywhere is counted map-side),
+   known by the place of its first occurrence.
 2. Two lines within one edit share, cut in the middle of the shorter, a first or a
    last half.  Lines that share neither with any line have no neighbour and go no
    further; this loses nothing.
@@ -22,20 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import lookup, scratch
 
-#: Lines with fewer code points are compared exactly only.
-LEAST_POINTS = 8
 #: Code points of a chunk of which variants are hashed.
 CHUNK = 256
-#: One more than the largest id.
-_AFTER_ALL_IDS = str(1 << 63)
 
 
-def _place(doc: Column, line: Column) -> Column:
-    """Document, then line, as one number that orders them (null ids last)."""
-    known = F.coalesce(doc.cast("decimal(20,0)"), F.lit(_AFTER_ALL_IDS).cast("decimal(20,0)"))
-    return (known * F.lit(1 << 31).cast("decimal(10,0)") + line).cast("decimal(31,0)")
+def _place() -> Column:
+    """Document (null ids last), row, line: what orders occurrences."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("uid"), F.col("line_no"))
 
 
 def _halves(line: Column, n: Column) -> list[Column]:
@@ -48,11 +44,20 @@ def _halves(line: Column, n: Column) -> list[Column]:
     return out
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line_no`` (from 0), ``line`` of every line that has a word."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``uid, doc_id, text``: rows named by their place in the input, which the same
+    scan always gives."""
+    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def _lines(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, ``line_no`` (from 0) and ``line`` of every line that has a word."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return rows.select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _key(line: Column) -> Column:
+    return F.unhex(F.sha2(line, 256))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -84,17 +89,18 @@ def _variants(lines: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _near(docs: DataFrame, classes: DataFrame, least_points: int) -> DataFrame:
+def _near(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """``key`` of the classes within one edit of an earlier class."""
-    halves = classes.where(F.col("n_points") >= least_points).select("key", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half"))
+    halves = classes.select("key", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half"))
     halves = halves.withColumn("code", F.xxhash64("key"))
     shared = halves.groupBy("half").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high").select("half")
     kept = halves.join(shared, "half").select("key").distinct()
-    some = scratch.table(classes.join(kept, "key").select("key", "first", "first_doc", "first_line"), "alike")
+    some = scratch.table(classes.join(kept, "key").select("key", "first", "place"), "alike")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").where("first_doc IS NOT NULL AND text IS NOT NULL")
-    found = texts.join(scratch.small_side(some), "first_doc").withColumn("line", F.get(F.split("text", "\n", -1), F.col("first_line").cast("int")))
-    found = found.where(F.unhex(F.md5("line")) == F.col("key")).select("key", "first", "line").dropDuplicates(["key"])
+    # the lines themselves, only those at the place of their class's first occurrence
+    firsts = lines.withColumn("place", F.xxhash64("uid", "line_no"))
+    found = lookup.matched(firsts, "place", some.select("place", "key", "first"))
+    found = found.where(_key(F.col("line")) == F.col("key")).select("key", "first", "line").dropDuplicates(["key"])
     found = scratch.table(found, "lines")
 
     # at most (points + 1) * alphabet distinct lines share a variant, however many documents there are
@@ -111,57 +117,58 @@ def _near(docs: DataFrame, classes: DataFrame, least_points: int) -> DataFrame:
     return scratch.table(checked.select("key").distinct(), "near")
 
 
-def dedup_lines(docs: DataFrame, least_points: int = LEAST_POINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line_no, reason`` for every line that goes: ``exact`` if an equal
-    line stands earlier, else ``near`` if an earlier line is within one edit.
-
-    Earlier: in a document with a smaller id (integers; null ids last), or above in
-    the same one.  Lines are parts between line feeds; those without a word stay.
-    Lines shorter than ``least_points`` code points are compared exactly only, as
-    are lines that stand only in rows with a null id.  Rows repeated with one id are
-    one document.  Null and empty texts have no lines; other columns are ignored.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _judged(rows: DataFrame) -> DataFrame:
+    """``uid, doc_id, line_no, reason`` for every line of ``_rows`` that goes."""
     n = F.char_length("line")
-    rows = occurrences(docs).select(
-        "doc_id", "line_no", F.unhex(F.md5("line")).alias("key"), n.alias("n_points"),
+    found = _lines(rows, "uid", "doc_id").select(
+        "uid", "doc_id", "line_no", _key(F.col("line")).alias("key"),
         *[h.alias(f"h{i}") for i, h in enumerate(_halves(F.col("line"), n))],
     )
-    rows = scratch.table(rows, "occurrences")
-    place = _place(F.col("doc_id"), F.col("line_no"))
-    classes = rows.groupBy("key").agg(
-        F.min(place).alias("first"), F.max("n_points").alias("n_points"), *[F.max(f"h{i}").alias(f"h{i}") for i in range(4)]
-    )
-    width = F.lit(1 << 31).cast("decimal(10,0)")
-    # decimal division rounds: the line is what is left of the place, moved back into range
-    classes = classes.withColumn("first_line", F.pmod(F.col("first"), width).cast("long"))
-    classes = classes.withColumn("first_doc", ((F.col("first") - F.col("first_line")) / width).cast("decimal(20,0)"))
-    classes = classes.withColumn("first_doc", F.when(F.col("first_doc") < F.lit(_AFTER_ALL_IDS).cast("decimal(20,0)"), F.col("first_doc")).cast("long"))
+    found = scratch.table(found, "occurrences")
+    classes = found.groupBy("key").agg(F.min(_place()).alias("first"), *[F.max(f"h{i}").alias(f"h{i}") for i in range(4)])
+    classes = classes.withColumn("place", F.xxhash64("first.uid", "first.line_no"))
     classes = scratch.table(classes, "line_classes")
-    near = _near(docs, classes, least_points).withColumn("near", F.lit(True))
+    near = _near(_lines(rows, "uid"), classes).withColumn("near", F.lit(True))
     marked = classes.select("key", "first").join(scratch.small_side(near), "key", "left")
-    met = rows.select("doc_id", "line_no", "key", place.alias("place")).join(marked, "key")
+    met = found.select("uid", "doc_id", "line_no", "key", _place().alias("place")).join(marked, "key")
     reason = F.when(F.col("place") > F.col("first"), "exact").when(F.col("near"), "near")
-    return met.select("doc_id", "line_no", reason.alias("reason")).where("reason IS NOT NULL")
+    return met.select("uid", "doc_id", "line_no", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, line_no, reason`` for every line that goes: ``exact`` if an equal
+    line stands earlier, else ``near`` if an earlier line is within one edit.
+
+    Earlier: in a document with a smaller id (integers; null ids last), in an earlier
+    row of the same id, or above in the same row.  Lines are parts between line feeds;
+    those without a word stay; all others, short ones too, are compared.  Rows that
+    repeat an id, and rows with a null id, are documents of their own.  Null and empty
+    texts have no lines; other columns are ignored; an empty table gives an empty result.
+    """
+    return _judged(_rows(docs, id_col, text_col)).drop("uid")
 
 
-def clean(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``doc_id, text`` of the documents without the lines of ``dedup_lines``."""
-    gone = dropped.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    met = docs.select("doc_id", "text").join(scratch.small_side(scratch.table(gone, "gone")), "doc_id", "left")
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text`` of every row without the lines that go; a text that loses none
+    stays as it is (null too)."""
+    rows = _rows(docs, id_col, text_col)
+    gone = _judged(rows).groupBy("uid").agg(F.collect_set("line_no").alias("gone"))
+    met = rows.join(scratch.small_side(scratch.table(gone, "gone")), "uid", "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
     return met.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")).alias("text"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_exact, n_near, dropped`` of every document: the lines with
-    a word, how many go for which reason, and their numbers joined by commas."""
-    gone = dedup_lines(docs).groupBy("doc_id").agg(
+    """``doc_id, n_lines, n_exact, n_near, dropped`` of every row: its lines with a word,
+    how many of them go for which reason, and their numbers joined by commas.  Rows
+    that repeat an id, and rows with a null id, each have their own lines."""
+    rows = _rows(docs, "doc_id", "text")
+    gone = _judged(rows).groupBy("uid").agg(
         F.count_if(F.col("reason") == "exact").alias("n_exact"), F.count_if(F.col("reason") == "near").alias("n_near"),
         F.array_join(F.sort_array(F.collect_set("line_no")).cast("array<string>"), ",").alias("dropped"),
     )
     lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.cast("long").alias("n_lines"))
-    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]), "left").select(
-        rows["doc_id"], "n_lines", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_exact", "n_near")], F.coalesce("dropped", F.lit("")).alias("dropped")
+    counted = rows.select("uid", "doc_id", lines.cast("long").alias("n_lines"))
+    return counted.join(gone, "uid", "left").select(
+        "doc_id", "n_lines", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_exact", "n_near")], F.coalesce("dropped", F.lit("")).alias("dropped")
     )

@@ -9,6 +9,9 @@
 * Only candidates run a rule's regex; a rule without mandatory trigrams (hex
   runs) scans every text.  Postings hold hashes of ids and a candidate is only
   ever verified, so clashing or repeated ids cost time and no result.
+* Texts stay where they are: candidates reach them by broadcast, few as they are
+  and many as a filter of their hashes; only past 44 million do rows meet them by
+  a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import lookup, scratch
 
 #: Expected documents per shard of the index.
 SHARD = 8192
@@ -207,6 +210,16 @@ def _spans(rule: Rule, order: int, text: Column, wanted: Column) -> Column:
     return F.filter(_folded(steps, empty, step)["out"], lambda s: s["value"] >= rule.least)
 
 
+def _told(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``rules``: those that may match, as told by ``candidates``.  What
+    passes a filter of the candidates' keys is told all rules, for each is verified."""
+    n = found.count()
+    if scratch.rows_that_may_be_broadcast() < n and lookup.holds(n):
+        flagged = lookup.flagged(rows, "key", found.select("key"), n, "maybe")
+        return flagged.withColumn("rules", F.when(F.col("maybe"), -1).otherwise(0)).drop("maybe")
+    return rows.join(scratch.small_side(found, n), "key", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
+
+
 def scan_secrets(
     docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
 ) -> DataFrame:
@@ -218,8 +231,7 @@ def scan_secrets(
     carried = F.struct(*carry) if carry else F.lit(None).cast("boolean")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
     rows = rows.withColumn("key", F.xxhash64("doc_id"))
-    found = scratch.table(candidates(rows, rules), "candidates")
-    met = rows.join(scratch.small_side(found), "key", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
+    met = _told(rows, scratch.table(candidates(rows, rules), "candidates"))
     spans = [
         _spans(r, i, F.col("text"), F.lit(True) if boolean_query(r.pattern) is True else F.col("rules").bitwiseAND(1 << i) != 0)
         for i, r in enumerate(rules)

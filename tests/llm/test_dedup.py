@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillbook.llm import exact_dedup, line_dedup, ngram_join
+from quillbook.llm import exact_dedup, line_dedup, lookup, ngram_join
 from quillbook.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,18 +171,18 @@ def test_components(spark):
 # -- lines ---------------------------------------------------------------------
 
 
-def lines(rows, least):
-    first, out, order = {}, {}, []
-    for doc, text in sorted(rows):
+def lines(rows):
+    """``{(row, line): reason}``; rows are named by their place in the list."""
+    first, out = {}, {}
+    for at, (doc, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
         for k, line in enumerate((text or "").split("\n")):
             if WORD.search(line):
                 if line in first:
-                    out[doc, k] = "exact"
+                    out[at, k] = "exact"
                 else:
-                    if any(len(line) >= least and len(o) >= least and one_edit(line, o) for o in order):
-                        out[doc, k] = "near"
-                    first[line] = (doc, k)
-                    order.append(line)
+                    if any(one_edit(line, o) for o in first):
+                        out[at, k] = "near"
+                    first[line] = (at, k)
     return out
 
 
@@ -193,28 +194,65 @@ def one_edit(a, b):
     return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :]
 
 
-def test_lines(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CHUNK", 16)  # many chunks a line
-    random.seed(8)
-    bases = ["the quick brown fox jumps", "pack my box with five é漢😀", "x" * 70 + "abc", "short", "aaaaaaaa", "aaaaaaaaa", "y" * 32, "y" * 33]
+def reported(rows):
+    """What ``line_report`` and ``clean`` must return, as multisets."""
+    gone, report, texts = lines(rows), collections.Counter(), collections.Counter()
+    for at, (doc, text) in enumerate(rows):
+        parts = (text or "").split("\n")
+        own = [k for k in range(len(parts)) if (at, k) in gone]
+        kinds = collections.Counter(gone[at, k] for k in own)
+        report[doc, sum(bool(WORD.search(x)) for x in parts), kinds["exact"], kinds["near"], ",".join(map(str, own))] += 1
+        texts[doc, text if not own else "\n".join(x for k, x in enumerate(parts) if k not in own)] += 1
+    return report, texts
+
+
+def edited_rows(seed, n, ids):
+    random.seed(seed)
+    bases = ["the quick brown fox jumps", "pack my box with five é漢😀", "x" * 70 + "abc", "short", "aaaaaaaa", "aaaaaaaaa", "y" * 32, "y" * 33, "ab", "é"]
 
     def edited(line):
         at, c = random.randrange(len(line) + 1), random.choice("abé漢xy ")
         return random.choice([line, line[:at] + c + line[at:], line[:at] + line[at + 1 :], line[:at] + c + line[at + 1 :]])
 
-    rows = [(i, "\n".join(random.choice(["", " ", edited(edited(random.choice(bases)))]) for _ in range(random.randrange(9)))) for i in range(120)]
-    df = spark.createDataFrame([*rows, (500, None), (501, "")], KINDS).repartition(4)
-    got = {(r.doc_id, r.line_no): r.reason for r in line_dedup.dedup_lines(df).collect()}
-    assert got == lines(rows, line_dedup.LEAST_POINTS)
-    report = {r.doc_id: r for r in line_dedup.line_report(df).collect()}
-    assert len(report) == len(rows) + 2 and sum(r.n_near for r in report.values()) == sum(v == "near" for v in got.values())
-    clean = {r.doc_id: r.text for r in line_dedup.clean(df, line_dedup.dedup_lines(df)).collect()}
-    assert clean[rows[0][0]] == "\n".join(x for k, x in enumerate(rows[0][1].split("\n")) if (rows[0][0], k) not in got)
+    return [(ids(i), "\n".join(random.choice(["", " ", edited(edited(random.choice(bases)))]) for _ in range(random.randrange(9)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lines(spark, monkeypatch, broadcast):
+    from quillbook.plans import scratch
+
+    monkeypatch.setattr(line_dedup, "CHUNK", 16)  # many chunks a line
+    if not broadcast:
+        monkeypatch.setattr(scratch, "BROADCAST_ROWS", 0)
+    # ids that repeat with other texts, and null ids
+    rows = edited_rows(8, 120, lambda i: random.choice([None, i, i % 7])) + [(500, None), (501, ""), (1, "one two three four\none two three four"), (1, "stays\nplease")]
+    df = spark.createDataFrame(rows, KINDS).coalesce(1)
+    report, texts = reported(rows)
+    got = collections.Counter((r.doc_id, r.line_no, r.reason) for r in line_dedup.dedup_lines(df).collect())
+    assert got == collections.Counter((rows[at][0], k, reason) for (at, k), reason in lines(rows).items())
+    assert collections.Counter(tuple(r) for r in line_dedup.line_report(df).collect()) == report
+    assert collections.Counter(tuple(r) for r in line_dedup.clean(df).collect()) == texts
 
 
 def test_line_edges(spark, nasty):
+    for rows in ([(1, "one two three four\none two three four"), (1, "different text here\nsecond stays please\nx")], [(None, "a b c\na b c"), (None, "d e f\ng h i j k")]):
+        df = spark.createDataFrame(rows, KINDS).coalesce(1)
+        report, texts = reported(rows)
+        assert collections.Counter(tuple(r) for r in line_dedup.line_report(df).collect()) == report
+        assert collections.Counter(tuple(r) for r in line_dedup.clean(df).collect()) == texts
     got = line_dedup.dedup_lines(nasty).collect()
     assert all(r.reason in ("exact", "near") for r in got)
     assert any(r.doc_id is None and r.reason == "exact" for r in got)  # null ids come last
-    assert line_dedup.line_report(nasty).count() >= nasty.select("doc_id").distinct().count()
+    assert line_dedup.line_report(nasty).count() == nasty.count()
     assert line_dedup.dedup_lines(nasty.limit(0)).count() == 0 == line_dedup.line_report(nasty.limit(0)).count()
+
+
+def test_key_filter(spark, monkeypatch):
+    """A filter passes every row with a key, and few others."""
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("k"))
+    keys = rows.where("id % 10 = 0").select("k")
+    passed = lookup.passing(rows, "k", keys, keys.count()).cache()
+    assert passed.where("id % 10 = 0").count() == 4000 and passed.columns == rows.columns
+    assert passed.count() < 4000 + 0.06 * 36_000
+    monkeypatch.setattr(lookup, "WORDS", 1)  # more keys than a filter may hold
+    assert lookup.passing(rows, "k", keys, keys.count()).count() == 40_000

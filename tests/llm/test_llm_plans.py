@@ -36,3 +36,18 @@ def test_native(documents, unwritten, operator):
 def test_only_wanted_columns_are_read(documents):
     text = plan(secret_scan.scan_secrets(documents).select("doc_id", "secrets"))
     assert re.search(r"ReadSchema: struct<doc_id:bigint,text:string>", text)
+
+
+@pytest.mark.parametrize("operator", [secret_scan.secret_report, line_dedup.line_report])
+def test_texts_are_not_shuffled(documents, unwritten, monkeypatch, operator):
+    """However many candidates there are, no whole text lies under an exchange."""
+    from quillbook.plans import scratch as shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    final = operator(documents)
+    for df in [final, *unwritten]:
+        tree = df._jdf.queryExecution().sparkPlan()
+        ensured = df._jdf.queryExecution().executedPlan().toString()
+        assert tree is not None
+        for exchange in re.findall(r"Exchange hashpartitioning[^\n]*\n([^\n]*)", ensured):
+            assert not re.search(r"\btext#", exchange), exchange

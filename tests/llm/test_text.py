@@ -317,11 +317,16 @@ def test_queries_of_trigrams():
     assert q("a[bc]d") == ("or", ("abd", "acd"))
 
 
-def test_shuffled_candidates(spark, monkeypatch):
+@pytest.mark.parametrize("filtered", [True, False])
+def test_many_candidates(spark, monkeypatch, filtered):
+    """Too many to broadcast one by one: as a filter, or by a shuffle."""
     monkeypatch.setattr(secret_scan, "SHARD", 2)
+    from quillbook.llm import lookup
     from quillbook.plans import scratch
 
     monkeypatch.setattr(scratch, "BROADCAST_ROWS", 0)
+    if not filtered:
+        monkeypatch.setattr(lookup, "WORDS", 0)
     made = spark.createDataFrame(list(enumerate(SECRETS)), KINDS)
     assert {r.doc_id: r.spans for r in secret_scan.secret_report(made).collect()} == {i: spans(t) for i, t in enumerate(SECRETS)}
 

@@ -261,25 +261,89 @@ def test_judge(spark, nasty):
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept) for r in got.collect())
     met = got.join(labels, "doc_id").where("NOT base_failed")
     good, bad = (met.where(f"quality = {q}").agg(F.avg(F.col("kept").cast("int"))).first()[0] for q in (1, 0))
-    assert good > 0.99 and bad < 0.5
+    assert good > 0.99 and bad < 0.1
     edge = quality_rules.judge(nasty).collect()
     assert len(edge) == nasty.count() and quality_rules.judge(nasty.limit(0)).count() == 0
 
 
+def quantile(values, width, share):
+    bucket, n = np.unique(np.floor(values / width), return_counts=True)
+    return (bucket[np.searchsorted(np.cumsum(n), share * len(values))] + 0.5) * width
+
+
+def distances(x, shape):
+    return (np.linalg.solve(np.linalg.cholesky(shape[1]), (x - shape[0]).T) ** 2).sum(axis=0)
+
+
+def robust(x, above):
+    """Location, scatter and scale of one group's rows, leaning on ``above``."""
+    q = quality_rules
+    low, mid, high = (np.array([quantile(x[:, i], 1 / 256, s) for i in range(5)]) for s in (0.25, 0.5, 0.75))
+    wide = np.sqrt(((high - low) / 1.349) ** 2 + q.FLOOR + 1e-9)
+    z = (x - mid) / wide
+    starts = {"ranges": np.eye(5)}
+    for name, y in (("tangents", np.tanh(z)), ("directions", z / np.sqrt((z**2).sum(axis=1, keepdims=True) + 1e-12))):
+        cross = y.T @ y / len(y)
+        spread = np.sqrt(np.outer(np.diag(cross), np.diag(cross)))
+        starts[name] = np.where(spread > 1e-9, 0.95 * cross / np.maximum(spread, 1e-300), 0) * (1 - np.eye(5)) + np.eye(5)
+    found = []
+    for name, shape in starts.items():
+        now, least = (mid, shape * np.outer(wide, wide)), np.inf
+        for _ in range(q.STEPS):
+            far = np.log(np.maximum(distances(x, now), 1e-9))
+            inside = x[far <= quantile(far, 1 / 64, q.SUBSET) + 1 / 128]
+            m, c, n = inside.mean(axis=0), np.cov(inside.T, bias=True), len(inside)
+            own = n / (n + q.PRIOR) if above else 1.0
+            pm, pc = above or (np.zeros(5), np.zeros((5, 5)))
+            gap = np.outer(m - pm, m - pm) * own * (1 - own)
+            moved = own * m + (1 - own) * pm, own * (c + q.FLOOR * np.eye(5)) + (1 - own) * pc + gap
+            logdet = np.linalg.slogdet(moved[1])[1]
+            before, least = least, min(least, logdet)
+            now = moved if logdet < before else now
+            if not logdet < before - q.FALL:
+                break
+        found.append((least, name, now))
+    shape = min(found, key=lambda f: f[:2])[2]
+    far = np.log(np.maximum(distances(x, shape), 1e-9))
+    return (*shape, max(np.exp(quantile(far, 1 / 64, 0.5)) / q._MEDIAN, 1.0))
+
+
+def test_judge_against_numpy(spark):
+    """Groups of a few rows and of many, by the same steps in numpy."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", "text")
+    rows = quality_rules.statistics(docs).select("*", *quality_rules._vector()).toPandas()
+    rows["base_failed"] = (rows.n_words < 50) | (100 * rows.n_repeat_words > 50 * rows.n_words)
+    passed = rows[~rows.base_failed].fillna({"lang": "-", "source": "-"})
+    x = passed[["x1", "x2", "x3", "x4", "x5"]].to_numpy()
+    whole = robust(x, None)
+    want = {}
+    for lang in passed.lang.unique():
+        at_lang = (passed.lang == lang).to_numpy()
+        language = robust(x[at_lang], whole[:2])
+        for source in passed.source.unique():
+            own = at_lang & (passed.source == source).to_numpy()
+            if own.any():
+                *shape, scale = robust(x[own], language[:2])
+                want |= dict(zip(passed.doc_id[own], distances(x[own], shape) / scale))
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert {d for d, r in got.items() if r.distance is None} == set(rows.doc_id[rows.base_failed])
+    assert np.allclose([got[d].distance for d in want], list(want.values()), rtol=1e-6)
+    assert all(got[d].kept == (v <= quality_rules.CUTOFF) for d, v in want.items())
+    assert min(passed.groupby(["lang", "source"]).size()) < 10
+
+
 def test_concentration(spark):
-    """Estimates against numpy: a quarter of far outliers does not move them."""
+    """A quarter of far outliers does not move location and scatter."""
     rng = np.random.default_rng(3)
     clean = rng.normal(size=(3000, 5)) @ np.diag([1, 2, 1, 1, 3]) + 5
     far = rng.normal(size=(600, 5)) + 60
-    rows = spark.createDataFrame(np.vstack([clean, far]).tolist(), "x1 double, x2 double, x3 double, x4 double, x5 double").withColumn("group", F.lit("g"))
+    rows = spark.createDataFrame(np.vstack([clean, far]).tolist(), "x1 double, x2 double, x3 double, x4 double, x5 double")
+    rows = rows.withColumns({"group": F.lit("g"), "parent": F.lit("")})
     found = quality_rules.estimate(rows, 1, floor=0.0).first()
     assert np.allclose([found[f"m{i}"] for i in range(1, 6)], 5, atol=0.25)
     factor = np.array([[found[f"l{i}{j}"] if j <= i else 0 for j in range(1, 6)] for i in range(1, 6)])
     scatter = factor @ factor.T * found.scale
     assert np.allclose(np.sqrt(np.diag(scatter)), [1, 2, 1, 1, 3], rtol=0.25)
-    d2 = {r.d2 for r in quality_rules._with_distance(rows.limit(5), spark.createDataFrame([found]).drop("scale"), 1).collect()}
-    first = np.array([tuple(r[f"x{i}"] for i in range(1, 6)) for r in rows.limit(5).collect()]) - [found[f"m{i}"] for i in range(1, 6)]
-    assert np.allclose(sorted(d2), sorted((first @ np.linalg.inv(factor @ factor.T) * first).sum(axis=1)))
 
 
 # -- secrets -------------------------------------------------------------------

@@ -11,6 +11,8 @@ instrument does not land in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +30,17 @@ def live_at(life: DataFrame, idx: int | None = None) -> DataFrame:
 def remaining(life: DataFrame, changed: DataFrame, idx: int | None = None) -> DataFrame:
     """Live orders with their remaining quantity, ``rem``."""
     cuts = changed if idx is None else changed.where(F.col("idx") <= idx)
-    taken = cuts.where("NOT dies").groupBy("ref").agg(F.sum("red").alias("taken"))
-    return live_at(life, idx).join(taken, "ref", "left").withColumn("rem", F.col("qty0") - F.coalesce("taken", F.lit(0))).drop("taken")
+    taken = cuts.where("NOT dies").groupBy("born").agg(F.sum("red").alias("taken"))
+    return live_at(life, idx).join(taken, "born", "left").withColumn("rem", F.col("qty0") - F.coalesce("taken", F.lit(0))).drop("taken")
 
 
-def depth(orders: DataFrame, levels: int | None = None) -> DataFrame:
-    """``locate, side, rank, price, qty, orders``, best level first."""
-    by_price = orders.groupBy("locate", "side", "price").agg(F.sum("rem").alias("qty"), F.count("*").alias("orders"))
-    best = Window.partitionBy("locate", "side").orderBy(F.when(F.col("side") == "B", -F.col("price")).otherwise(F.col("price")))
+def depth(orders: DataFrame, levels: int | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """``scope, locate, side, rank, price, qty, orders``, best level first."""
+    by_price = orders.groupBy(*scope, "locate", "side", "price").agg(F.sum("rem").alias("qty"), F.count("*").alias("orders"))
+    best = Window.partitionBy(*scope, "locate", "side").orderBy(F.when(F.col("side") == "B", -F.col("price")).otherwise(F.col("price")))
     out = by_price.withColumn("rank", F.row_number().over(best).cast("long"))
     out = out if levels is None else out.where(F.col("rank") <= levels)
-    return out.select("locate", "side", "rank", "price", "qty", "orders")
+    return out.select(*scope, "locate", "side", "rank", "price", "qty", "orders")
 
 
 def queue(orders: DataFrame) -> DataFrame:

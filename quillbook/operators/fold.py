@@ -1,15 +1,15 @@
 """The book as a state machine over messages in order: exact for every anomaly.
 
 Where references are unique and locates consistent, books are independent and the
-fold runs per locate; else one reference can move another locate's book, and the
-stream is folded as one.  Rows stream through sorted, so a task holds the live
+fold runs per locate; else one reference can move another locate's book, and a day is
+folded as one.  Rows stream through sorted, so a task holds the live
 orders of one book, never a group of messages.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,7 +103,7 @@ _RESULT = (
 )
 
 
-def _replay(by_locate: bool):
+def _replay(by: Sequence[str]):
     names = [x.split()[0] for x in _RESULT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,8 +111,8 @@ def _replay(by_locate: bool):
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                if by_locate and r.locate != current:
-                    book, current = Book(), r.locate
+                if (own := tuple(getattr(r, c) for c in by)) != current:
+                    book, current = Book(), own
                 outcome, moved = book.apply(r.type, r.locate, r.ref, r.new_ref, r.side, r.shares, r.price)
                 out.append((r.idx, r.locate, r.type, outcome, moved, *book.top(r.locate), len(book.orders)))
             yield pd.DataFrame(out, columns=names)
@@ -120,21 +120,19 @@ def _replay(by_locate: bool):
     return run
 
 
-def replay(messages: DataFrame, by_locate: bool = True) -> DataFrame:
+def replay(messages: DataFrame, by: Sequence[str] = ("locate",)) -> DataFrame:
     """A row per book message: its outcome, whether its locate is not the order's, the
-    top of its locate after it, and the live orders (of its book).  ``by_locate=False``
-    keeps one state for the whole stream, in one task, for streams in which references
-    cross locates."""
+    top of its locate after it, and the live orders (of its book).  ``by`` names the
+    columns within which references count and books are apart: ``("session",)`` for days
+    in which references cross locates; ``()`` keeps one state for the whole stream, in
+    one task."""
     none = F.lit(0).cast("long")
     rows = messages.where(is_book()).select(
-        "idx", "locate", "type", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("ref", "new_ref")], F.coalesce("side", F.lit("S")).alias("side"),
+        *[c for c in by if c != "locate"], "idx", "locate", "type", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("ref", "new_ref")], F.coalesce("side", F.lit("S")).alias("side"),
         *[F.coalesce(c, none).alias(c) for c in ("shares", "price")],
     )
-    if by_locate:
-        dealt = rows.repartition("locate").sortWithinPartitions("locate", "idx")
-    else:
-        dealt = rows.coalesce(1).sortWithinPartitions("idx")
-    return dealt.mapInPandas(_replay(by_locate), _RESULT)
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "idx") if by else rows.coalesce(1).sortWithinPartitions("idx")
+    return dealt.mapInPandas(_replay(tuple(by)), _RESULT)
 
 
 def counters(replayed: DataFrame) -> DataFrame:

@@ -6,12 +6,20 @@ replacement carries its own quantity and price.  Only whether a replacement took
 effect, and the side and locate it inherits, goes along a chain, which is resolved
 by doubling pointers: a chain of n replacements takes log2(n) joins.
 
-Precondition: references of created orders are unique; ``quillbook.operators.fold``
-covers streams that break it, and ``duplicate_refs`` finds those.
+An order is named by the message that bore it (``born``), not by its reference, which
+may be used again: in another ``scope`` (the columns, such as the session, within
+which references count) or after the order's death.  References that several
+messages would create are contested: whether a creation is a duplicate depends on
+what is live, so they, and the references that replacements tie them to, are folded
+in order; all others take the joins.  A stream without contested references costs one
+count for it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,90 +28,174 @@ from ..plans import scratch
 
 LOCATES = 65_536
 END_KINDS = {"E": "executed", "C": "executed", "X": "cancelled", "D": "deleted", "U": "replaced"}
+CUTS = ("E", "C", "X", "D", "U")
 
 
 def is_book(kind: Column | str = "type") -> Column:
     return F.col(kind).isin(*BOOK_TYPES) if isinstance(kind, str) else kind.isin(*BOOK_TYPES)
 
 
-def creations(messages: DataFrame) -> DataFrame:
-    """``ref, prev, born, born_ns, session, locate, side, qty0, price``: what adds and
-    replacements would create; no-quantity ones and adds of a bad locate are rejected."""
+def creations(messages: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """``scope, ref, prev, born, born_ns, session, locate, side, qty0, price, is_add``: what
+    adds and replacements would create; no-quantity ones and adds of a bad locate are
+    rejected."""
     add = F.col("type").isin("A", "F")
     made = messages.where(add | (F.col("type") == "U"))
     ok = (F.col("shares") > 0) & (~add | F.col("locate").between(0, LOCATES - 1))
+    keep = [c for c in scope if c != "session"]
     return made.where(ok).select(
-        F.when(add, F.col("ref")).otherwise(F.col("new_ref")).alias("ref"), F.when(~add, F.col("ref")).alias("prev"), F.col("idx").alias("born"),
+        *keep, F.when(add, F.col("ref")).otherwise(F.col("new_ref")).alias("ref"), F.when(~add, F.col("ref")).alias("prev"), F.col("idx").alias("born"),
         F.col("ts_ns").alias("born_ns"), "session", "locate", "side", F.col("shares").alias("qty0"), "price", add.alias("is_add"),
     )
 
 
-def duplicate_refs(messages: DataFrame) -> DataFrame:
-    """References that are created more than once: such streams need the fold."""
-    return creations(messages).groupBy("ref").agg(F.count("*").alias("n")).where("n > 1")
+def duplicate_refs(messages: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """References that more than one message would create."""
+    return creations(messages, scope).groupBy(*scope, "ref").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _ends(messages: DataFrame, made: DataFrame) -> DataFrame:
-    """``ref, idx, ts_ns, type, msg_locate, red, cum`` of what happens to each created ref."""
-    cuts = messages.where(F.col("type").isin("E", "C", "X", "D", "U")).select(
-        "ref", "idx", "ts_ns", "type", F.col("locate").alias("msg_locate"),
+def _reductions(messages: DataFrame, scope: Sequence[str]) -> DataFrame:
+    return messages.where(F.col("type").isin(*CUTS)).select(
+        *scope, "ref", "idx", "ts_ns", "type", F.col("locate").alias("msg_locate"),
         F.when(F.col("type").isin("E", "C", "X"), F.col("shares")).otherwise(F.lit(0)).cast("long").alias("red"),
     )
-    met = cuts.join(made.select("ref", "born", "qty0"), "ref").where("idx > born")
-    upto = Window.partitionBy("ref").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _with_sum(met: DataFrame) -> DataFrame:
+    upto = Window.partitionBy("born").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     return met.withColumn("cum", F.sum("red").over(upto))
 
 
-def _deaths(ends: DataFrame) -> DataFrame:
+def _deaths(messages: DataFrame, made: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """``born, died, end_type, died_ns, end_cum`` of created orders whose references are
+    created once."""
+    met = _reductions(messages, scope).join(made.select(*scope, "ref", "born", "qty0"), [*scope, "ref"]).where("idx > born")
     final = F.col("type").isin("D", "U") | (F.col("cum") >= F.col("qty0"))
-    return ends.where(final).groupBy("ref").agg(
+    return _with_sum(met).where(final).groupBy("born").agg(
         F.min("idx").alias("died"), F.min_by("type", "idx").alias("end_type"), F.min_by("ts_ns", "idx").alias("died_ns"), F.min_by("cum", "idx").alias("end_cum")
     )
 
 
-def _roots(made: DataFrame, died: DataFrame) -> DataFrame:
-    """``ref, root`` of every order that came to be.
+def _roots(made: DataFrame, died: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """``born, root_born`` of every order that came to be.
 
     A replacement took effect iff the order it names came to be and died by it.
     Each round joins the open pointers with all pointers, so steps double; a pointer
     to a replacement that did not take effect finds nothing and goes."""
-    ends = died.select(F.col("ref").alias("prev"), F.col("died").alias("prev_died"))
-    named = made.select(F.col("ref").alias("prev"), F.col("is_add").alias("at_root"))
-    steps = made.where("NOT is_add").select("ref", "prev", "born").join(ends, "prev").where("prev_died = born").join(named, "prev")
-    steps = scratch.table(steps.select("ref", F.col("prev").alias("up"), "at_root"), "chains")
+    named = made.select(*scope, F.col("ref").alias("prev"), F.col("born").alias("up"), F.col("is_add").alias("at_root"))
+    ends = died.select(F.col("born").alias("up"), F.col("died").alias("born"))
+    steps = made.where("NOT is_add").select(*scope, "prev", "born").join(ends, "born").join(named, [*scope, "prev", "up"])
+    steps = scratch.table(steps.select("born", "up", "at_root"), "chains")
     while steps.where("NOT at_root").take(1):
-        onto = steps.select(F.col("ref").alias("up"), F.col("up").alias("next"), F.col("at_root").alias("next_at_root"))
-        moved = steps.where("NOT at_root").select("ref", "up").join(onto, "up").select("ref", F.col("next").alias("up"), F.col("next_at_root").alias("at_root"))
-        steps = scratch.table(steps.where("at_root").unionByName(moved), "chains")
-    return made.where("is_add").select("ref", F.col("ref").alias("root")).unionByName(steps.select("ref", F.col("up").alias("root")))
+        onto = steps.select(F.col("born").alias("up"), F.col("up").alias("next"), F.col("at_root").alias("next_at_root"))
+        moved = steps.where("NOT at_root").select("born", "up").join(onto, "up").select("born", F.col("next").alias("up"), F.col("next_at_root").alias("at_root"))
+        before, steps = steps, scratch.table(steps.where("at_root").unionByName(moved), "chains")
+        scratch.forget(before)
+    return made.where("is_add").select("born", F.col("born").alias("root_born")).unionByName(steps.select("born", F.col("up").alias("root_born")))
 
 
-def order_life(messages: DataFrame) -> DataFrame:
-    """``ref, root, locate, side, price, qty0, session, born, born_ns, died, died_ns,
-    end_kind, end_cum`` of every order that came to be (``died`` null: still live)."""
-    made = scratch.table(creations(messages), "creations")
-    died = scratch.table(_deaths(_ends(messages, made)), "deaths")
-    roots = _roots(made, died)
-    first = made.where("is_add").select(F.col("ref").alias("root"), F.col("locate").alias("root_locate"), F.col("side").alias("root_side"))
+_LIFE = "root, locate, side, price, qty0, session, born, born_ns, died, died_ns, end_kind, end_cum"
+
+
+def _life_by_joins(messages: DataFrame, made: DataFrame, scope: Sequence[str]) -> DataFrame:
+    died = scratch.table(_deaths(messages, made, scope), "deaths")
+    roots = _roots(made, died, scope)
+    first = made.where("is_add").select(F.col("born").alias("root_born"), F.col("ref").alias("root"), F.col("locate").alias("root_locate"), F.col("side").alias("root_side"))
     kind = F.create_map(*[F.lit(x) for kv in END_KINDS.items() for x in kv])
-    return (
-        made.join(roots, "ref").join(first, "root").join(died, "ref", "left")
-        .select(
-            "ref", "root", F.col("root_locate").alias("locate"), F.col("root_side").alias("side"), "price", "qty0", "session", "born", "born_ns",
-            "died", "died_ns", F.try_element_at(kind, F.col("end_type")).alias("end_kind"), "end_cum",
-        )
+    met = made.drop("locate", "side").join(roots, "born").join(first, "root_born").join(died, "born", "left")
+    met = met.withColumns({"locate": F.col("root_locate"), "side": F.col("root_side"), "end_kind": F.try_element_at(kind, F.col("end_type"))})
+    return met.select(*[c for c in scope if c != "session"], "ref", *_LIFE.split(", "))
+
+
+def _contested(messages: DataFrame, made: DataFrame, scope: Sequence[str]) -> DataFrame | None:
+    """``scope, ref`` that must be folded; None where no reference is created twice."""
+    key = [*scope, "ref"]
+    found = scratch.table(made.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "contested")
+    if found.isEmpty():
+        return None
+    ties = made.where("NOT is_add").select(*scope, F.col("prev").alias("ref"), F.col("ref").alias("other"))
+    ties = scratch.table(ties.unionByName(ties.select(*scope, F.col("other").alias("ref"), F.col("ref").alias("other"))), "ties")
+    new = found
+    while not new.isEmpty():  # as many rounds as the longest chain that holds a contested reference
+        near = ties.join(new, key).select(*scope, F.col("other").alias("ref")).distinct()
+        new = scratch.table(near.join(found, key, "left_anti"), "contested")
+        found = scratch.table(found.unionByName(new), "contested")
+    return found
+
+
+def _life_by_fold(messages: DataFrame, refs: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Lives of the references in ``refs``: their messages of a scope in order, through a
+    table of what is live.  Rows stream through, so a task holds live orders only."""
+    keep = [c for c in scope if c != "session"]
+    kinds = dict(messages.dtypes)
+    rows = messages.where(F.col("type").isin("A", "F", *CUTS)).join(refs, [*scope, "ref"], "left_semi")
+    rows = rows.select(F.array(*[F.col(c).cast("string") for c in scope]).alias("scope"), *keep, "session", "idx", "ts_ns", "type", "locate", "ref", "new_ref", "side", "shares", "price")
+    names = [*keep, "ref", *_LIFE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        live: dict[int, dict] = {}
+        current = None
+
+        def born(r, ref: int, root: int, locate: int, side: str) -> None:
+            live[ref] = {c: getattr(r, c) for c in keep} | {
+                "ref": ref, "root": root, "locate": locate, "side": side, "price": r.price, "qty0": r.shares, "session": r.session, "born": r.idx,
+                "born_ns": r.ts_ns, "died": None, "died_ns": None, "end_kind": None, "end_cum": None, "taken": 0,
+            }
+
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if (scope_now := tuple(r.scope)) != current:
+                    out += live.values()
+                    live, current = {}, scope_now
+                if r.type in ("A", "F"):
+                    if r.shares > 0 and 0 <= r.locate < LOCATES and r.ref not in live:
+                        born(r, r.ref, r.ref, r.locate, r.side)
+                    continue
+                order = live.get(r.ref)
+                if order is None:
+                    continue
+                order["taken"] += int(r.shares) if r.type in ("E", "C", "X") else 0
+                if r.type in ("D", "U") or order["taken"] >= order["qty0"]:
+                    out.append(live.pop(r.ref) | {"died": r.idx, "died_ns": r.ts_ns, "end_kind": END_KINDS[r.type], "end_cum": order["taken"]})
+                if r.type == "U" and r.shares > 0 and r.new_ref not in live:
+                    born(r, int(r.new_ref), order["root"], order["locate"], order["side"])
+            if out:
+                yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("died", "died_ns", "end_cum", "price", "qty0", "ref", "root")})
+        if live:
+            yield pd.DataFrame(list(live.values()), columns=names).astype({c: "Int64" for c in ("died", "died_ns", "end_cum", "price", "qty0", "ref", "root")})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + (", " if keep else "") + (
+        f"ref long, root long, locate int, side string, price long, qty0 long, session {kinds['session']}, born long, born_ns long, died long, died_ns long, end_kind string, end_cum long"
     )
+    filled = rows.fillna({"shares": 0, "price": 0, "locate": -1, "new_ref": -1, "side": "S"})
+    dealt = filled.repartition("scope").sortWithinPartitions("scope", "idx") if scope else filled.coalesce(1).sortWithinPartitions("idx")
+    return dealt.mapInPandas(run, schema)
 
 
-def effects(messages: DataFrame, life: DataFrame) -> DataFrame:
+def order_life(messages: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """``ref, root, locate, side, price, qty0, session, born, born_ns, died, died_ns,
+    end_kind, end_cum`` of every order that came to be (``died`` null: still live, at the
+    end of its scope), with the columns of ``scope``."""
+    made = scratch.table(creations(messages, scope), "creations")
+    refs = _contested(messages, made, scope)
+    if refs is None:
+        return _life_by_joins(messages, made, scope)
+    clean = made.join(refs, [*scope, "ref"], "left_anti")
+    # written, because the union of both reads them more than once
+    folded = scratch.table(_life_by_fold(messages, refs, scope), "folded")
+    return _life_by_joins(messages, scratch.table(clean, "creations"), scope).unionByName(folded)
+
+
+def effects(messages: DataFrame, life: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Every message that changed a live order: ``idx, ts_ns, type, msg_locate, ref,
-    locate, side, price, before`` (quantity before it) and ``dies``."""
-    ends = _ends(messages, life.select("ref", "born", "qty0")).drop("born", "qty0")
-    met = ends.join(life.select("ref", "locate", "side", "price", "qty0", "died", "born", "born_ns"), "ref")
-    met = met.where(F.col("died").isNull() | (F.col("idx") <= F.col("died")))
+    born, locate, side, price, before`` (quantity before it), ``red`` and ``dies``."""
+    orders = life.select(*scope, "ref", "born", "born_ns", "locate", "side", "price", "qty0", "died")
+    met = _reductions(messages, scope).join(orders, [*scope, "ref"])
+    met = _with_sum(met.where((F.col("idx") > F.col("born")) & (F.col("died").isNull() | (F.col("idx") <= F.col("died")))))
     return met.select(
-        "idx", "ts_ns", "type", "msg_locate", "ref", "locate", "side", "price", (F.col("qty0") - F.col("cum") + F.col("red")).alias("before"), "red",
-        F.coalesce(F.col("idx") == F.col("died"), F.lit(False)).alias("dies"), "born_ns",
+        "idx", "ts_ns", "type", "msg_locate", *[c for c in scope if c != "ref"], "ref", "born", "locate", "side", "price",
+        (F.col("qty0") - F.col("cum") + F.col("red")).alias("before"), "red", F.coalesce(F.col("idx") == F.col("died"), F.lit(False)).alias("dies"), "born_ns",
     )
 
 
@@ -112,21 +204,23 @@ def counters(messages: DataFrame, life: DataFrame, changed: DataFrame) -> DataFr
     def n(condition: Column) -> Column:
         return F.count_if(F.coalesce(condition, F.lit(False)))
 
-    kind = F.col("type")
+    kind, good = F.col("type"), F.col("locate").between(0, LOCATES - 1)
     add = kind.isin("A", "F")
     counted = messages.agg(
         n(add).alias("adds"), n(kind.isin("E", "C")).alias("executes"), n(kind == "X").alias("cancels"), n(kind == "D").alias("deletes"),
-        n(kind == "U").alias("replaces"), n(kind.isin("E", "C", "X", "D", "U")).alias("_others"),
-        n(add & ~F.col("locate").between(0, LOCATES - 1)).alias("bad_locate"),
-        n((kind == "A") & (F.col("shares") <= 0)).alias("_zero_adds"),
+        n(kind == "U").alias("replaces"), n(kind.isin(*CUTS)).alias("_others"), n(add & ~good).alias("bad_locate"),
+        n(add & good & (F.col("shares") <= 0)).alias("_zero_adds"), n(add & good & (F.col("shares") > 0)).alias("_adds"),
     )
     hit = changed.agg(
         F.count("*").alias("_hit"), n(F.col("dies") & (F.col("red") > F.col("before"))).alias("overfill"),
-        n(F.col("msg_locate") != F.col("locate")).alias("locate_mismatch"),
+        n(F.col("msg_locate") != F.col("locate")).alias("locate_mismatch"), n(kind == "U").alias("_replaced"),
     )
-    live_zero = changed.where("type = 'U'").select("idx").join(messages.where("type = 'U' AND shares <= 0").select("idx"), "idx", "left_semi")
-    zero = live_zero.agg(F.count("*").alias("_zero_replaces"))
-    return counted.crossJoin(hit).crossJoin(zero).select(  # one row each
+    empty = messages.where("type = 'U' AND shares <= 0").select("idx")
+    zero = changed.where("type = 'U'").select("idx").join(empty, "idx", "left_semi").agg(F.count("*").alias("_zero_replaces"))
+    orders = life.agg(F.count("*").alias("_orders"))
+    # what would have been created and was not, is a duplicate
+    duplicate = F.col("_adds") + F.col("_replaced") - F.col("_zero_replaces") - F.col("_orders")
+    return counted.crossJoin(hit).crossJoin(zero).crossJoin(orders).select(  # one row each
         "adds", "executes", "cancels", "deletes", "replaces", (F.col("_others") - F.col("_hit")).alias("unknown_ref"),
-        F.lit(0).cast("long").alias("duplicate_ref"), "overfill", "locate_mismatch", "bad_locate", (F.col("_zero_adds") + F.col("_zero_replaces")).alias("zero_qty"),
+        duplicate.alias("duplicate_ref"), "overfill", "locate_mismatch", "bad_locate", (F.col("_zero_adds") + F.col("_zero_replaces")).alias("zero_qty"),
     )

@@ -62,6 +62,26 @@ def events(spark: SparkSession, sf_dir: str, touch: bool = False) -> DataFrame:
     )
 
 
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of ``events`` as days with references of their own, of which many are used
+    again on other days and some on the same day, and with every anomaly a book counts."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    idx, micros = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    k = F.pmod(idx, F.lit(10))
+    kind = F.when(k < 4, "A").when(k == 4, "F").when(k == 5, "E").when(k == 6, "X").when(k == 7, "D").when(k == 8, "U").otherwise("C")
+    creates = k.isin(0, 1, 2, 3, 4, 8)
+    # creations walk through the references, so most of a day's are new; the others name one made shortly before
+    ref = F.when(creates & (k != 8), F.pmod(idx, F.lit(997))).otherwise(F.pmod(idx - 3 - F.pmod(F.floor(idx / 10), F.lit(4)), F.lit(997)))
+    shares = F.when(F.pmod(idx, F.lit(29)) == 0, 0).otherwise(10 + F.pmod(idx, F.lit(13)) * 5)
+    locate = F.when((F.pmod(idx, F.lit(53)) == 0), 70_000).otherwise(F.pmod(F.floor(idx / 20), F.lit(7)))
+    return raw.select(
+        idx.alias("idx"), F.to_date("ts").alias("session"), (F.pmod(micros, F.lit(_DAY_US)) * 1000).alias("ts_ns"), kind.alias("type"),
+        locate.cast("int").alias("locate"), ref.cast("long").alias("ref"), F.when(k == 8, F.pmod(idx * 3, F.lit(997))).cast("long").alias("new_ref"),
+        F.when(creates & (k != 8), F.when(F.pmod(idx, F.lit(2)) == 0, "B").otherwise("S")).alias("side"), shares.cast("long").alias("shares"),
+        F.when(creates, 100 * (500 + F.pmod(idx, F.lit(9)))).cast("long").alias("price"), F.lit(None).cast("string").alias("state"),
+    )
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages from ``orders`` (adds) and ``lineitem`` (reductions by return flag)."""
     placed = spark.read.parquet(f"{sf_dir}/orders.parquet")

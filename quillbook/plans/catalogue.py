@@ -135,6 +135,49 @@ def orders_lifecycle_tpch(s):
     return s.life.select(*_LIFE_COLUMNS.split(", "))
 
 
+_DAY_COUNTS = ", ".join(
+    [f"(count(*) FILTER (WHERE type IN {kinds}))::BIGINT AS {name}" for name, kinds in (
+        ("adds", "('A', 'F')"), ("executes", "('E', 'C')"), ("cancels", "('X')"), ("deletes", "('D')"), ("replaces", "('U')"))]
+    + [f"(count(*) FILTER (WHERE rejected = '{name}'))::BIGINT AS {name}" for name in ("unknown_ref", "duplicate_ref", "bad_locate", "zero_qty")]
+    + ["(count(*) FILTER (WHERE over))::BIGINT AS overfill", "(count(*) FILTER (WHERE moved))::BIGINT AS locate_mismatch"]
+)
+
+
+@query(O.on_days(f"SELECT {_DAY_COUNTS} FROM walk JOIN m USING (idx)"))
+@_on("daily")
+def daily_counters(s):
+    """The eleven counters of days whose references repeat, with every anomaly."""
+    return lifecycle.counters(s.messages, s.life, s.effects)
+
+
+@query(O.on_days("""
+SELECT w.session, w.live[len(w.live)].ref AS ref, w.live[len(w.live)].root AS root, w.live[len(w.live)].locate AS locate, w.live[len(w.live)].side AS side,
+       w.live[len(w.live)].price AS price, w.live[len(w.live)].qty0 AS qty0, w.idx AS born, d.idx AS died,
+       CASE e.type WHEN 'E' THEN 'executed' WHEN 'C' THEN 'executed' WHEN 'X' THEN 'cancelled' WHEN 'D' THEN 'deleted' WHEN 'U' THEN 'replaced' END AS end_kind
+FROM walk w LEFT JOIN walk d ON d.hit = w.idx AND d.gone LEFT JOIN m e ON e.idx = d.idx WHERE w.made"""))
+@_on("daily")
+def daily_life(s):
+    return s.life.select("session", "ref", "root", "locate", "side", "price", "qty0", "born", "died", "end_kind")
+
+
+@query(O.on_days("""
+SELECT session, x.locate AS locate, x.side AS side, row_number() OVER (PARTITION BY session, x.locate, x.side ORDER BY CASE WHEN x.side = 'B' THEN -x.price ELSE x.price END) AS rank,
+       x.price AS price, sum(x.qty)::BIGINT AS qty, count(*) AS orders
+FROM (SELECT session, unnest(live) AS x FROM walk w WHERE k = (SELECT max(k) FROM line l WHERE l.session = w.session)) GROUP BY session, x.locate, x.side, x.price"""))
+@_on("daily")
+def daily_depth(s):
+    """Resting depth at the end of every day."""
+    return book.depth(s.remaining, scope=("session",))
+
+
+@query("SELECT 0::BIGINT AS mismatches")
+@_on("daily")
+def daily_fold(s):
+    """The joined lives of every day against books folded day by day: counters."""
+    folded = fold.counters(fold.replay(s.messages, by=("session",)))
+    return diff.counter_mismatches(lifecycle.counters(s.messages, s.life, s.effects), folded, ()).agg(F.count("*").alias("mismatches"))
+
+
 _COUNTERS = """
 SELECT count(*) FILTER (WHERE type = 'A') AS adds, count(*) FILTER (WHERE type = 'E') AS executes, count(*) FILTER (WHERE type = 'X') AS cancels,
        count(*) FILTER (WHERE type = 'D') AS deletes, count(*) FILTER (WHERE type = 'U') AS replaces,

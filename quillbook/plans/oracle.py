@@ -55,6 +55,39 @@ raw AS (
   FROM raw
 )"""
 
+#: Days of their own, folded message by message: ``live`` is a list of what is live.
+DAILY = """
+m AS (
+  SELECT event_id AS idx, ts::DATE AS session, (epoch_us(ts) % 86400000000) * 1000 AS ts_ns,
+         CASE WHEN k < 4 THEN 'A' WHEN k = 4 THEN 'F' WHEN k = 5 THEN 'E' WHEN k = 6 THEN 'X' WHEN k = 7 THEN 'D' WHEN k = 8 THEN 'U' ELSE 'C' END AS type,
+         (CASE WHEN event_id % 53 = 0 THEN 70000 ELSE (event_id // 20) % 7 END)::INT AS locate,
+         CASE WHEN k < 5 THEN event_id % 997 ELSE (event_id - 3 - (event_id // 10) % 4 + 997) % 997 END AS ref, CASE WHEN k = 8 THEN event_id * 3 % 997 END AS new_ref,
+         CASE WHEN k < 5 THEN CASE WHEN event_id % 2 = 0 THEN 'B' ELSE 'S' END END AS side,
+         CASE WHEN event_id % 29 = 0 THEN 0 ELSE 10 + event_id % 13 * 5 END AS shares, CASE WHEN k < 5 OR k = 8 THEN 100 * (500 + event_id % 9) END AS price
+  FROM (SELECT *, event_id % 10 AS k FROM events)
+), line AS (
+  SELECT *, row_number() OVER (PARTITION BY session ORDER BY idx) AS k, CASE WHEN type IN ('E', 'C', 'X') THEN shares ELSE 0 END AS red FROM m
+), walk AS (
+  SELECT session, 0::BIGINT AS k, NULL::BIGINT AS idx, [{'ref': NULL::BIGINT, 'root': NULL::BIGINT, 'locate': NULL::INT, 'side': NULL::VARCHAR, 'price': NULL::BIGINT, 'qty0': NULL::BIGINT, 'qty': NULL::BIGINT, 'born': NULL::BIGINT}][1:0] AS live,
+         NULL::BIGINT AS hit, false AS gone, false AS over, false AS moved, false AS made, NULL::VARCHAR AS rejected
+  FROM (SELECT DISTINCT session FROM m)
+  UNION ALL
+  SELECT session, k, idx, CASE WHEN made THEN list_append(rest, {'ref': own, 'root': CASE WHEN type = 'U' THEN h.root ELSE own END, 'locate': CASE WHEN type = 'U' THEN h.locate ELSE locate END,
+           'side': CASE WHEN type = 'U' THEN h.side ELSE side END, 'price': price, 'qty0': shares, 'qty': shares, 'born': idx}) ELSE rest END,
+         h.born, gone, coalesce(gone AND red > h.qty, false), coalesce(h.locate <> locate, false), made,
+         CASE WHEN type IN ('A', 'F') AND locate > 65535 THEN 'bad_locate' WHEN type IN ('A', 'F', 'U') AND (type <> 'U' OR h IS NOT NULL) AND shares = 0 THEN 'zero_qty'
+              WHEN type IN ('A', 'F', 'U') AND (type <> 'U' OR h IS NOT NULL) AND NOT made THEN 'duplicate_ref' WHEN type IN ('E', 'C', 'X', 'D', 'U') AND h IS NULL THEN 'unknown_ref' END
+  FROM (
+    SELECT *, CASE WHEN type = 'U' THEN h IS NOT NULL ELSE type IN ('A', 'F') AND locate <= 65535 END AND shares > 0 AND len(list_filter(rest, lambda x: x.ref = own)) = 0 AS made FROM (
+      SELECT *, CASE WHEN type = 'U' THEN new_ref ELSE ref END AS own,
+             CASE WHEN h IS NULL THEN live WHEN gone THEN list_filter(live, lambda x: x.ref <> ref)
+                  ELSE list_transform(live, lambda x: {'ref': x.ref, 'root': x.root, 'locate': x.locate, 'side': x.side, 'price': x.price, 'qty0': x.qty0, 'qty': CASE WHEN x.ref = ref THEN x.qty - red ELSE x.qty END, 'born': x.born}) END AS rest
+      FROM (
+        SELECT *, h IS NOT NULL AND (type IN ('D', 'U') OR red >= h.qty) AS gone FROM (
+          SELECT l.*, w.live, CASE WHEN l.type IN ('E', 'C', 'X', 'D', 'U') THEN list_filter(w.live, lambda x: x.ref = l.ref)[1] END AS h
+          FROM walk w JOIN line l ON l.session = w.session AND l.k = w.k + 1))))
+)"""
+
 _LIFE = """
 cand AS (
   SELECT CASE WHEN type = 'A' THEN ref ELSE new_ref END AS ref, CASE WHEN type = 'U' THEN ref END AS prev, idx AS born, ts_ns AS born_ns, session,
@@ -159,6 +192,10 @@ def on_orders(select: str) -> str:
     return f"WITH RECURSIVE {ORDERS}, {_LIFE}\n{select}"
 
 
+def on_days(select: str) -> str:
+    return f"WITH RECURSIVE {DAILY}\n{select}"
+
+
 def on_runs(select: str, more: str = "") -> str:
     return f"WITH {RUNS}, {PINGS}{',' + more if more else ''}\n{select}"
 

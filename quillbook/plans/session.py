@@ -15,10 +15,11 @@ _built: dict[tuple, "Stream"] = {}
 
 class Stream:
     """A message table and what is derived from it; every part is written once, when
-    first asked for, to the shared folder."""
+    first asked for, to the shared folder.  References count within ``scope``, as a feed
+    of many days has it (``("session",)``); without one the stream is a single day."""
 
-    def __init__(self, messages: DataFrame):
-        self._messages = messages
+    def __init__(self, messages: DataFrame, scope: tuple[str, ...] = ()):
+        self._messages, self.scope = messages, scope
 
     @cached_property
     def messages(self) -> DataFrame:
@@ -30,11 +31,11 @@ class Stream:
 
     @cached_property
     def life(self) -> DataFrame:
-        return scratch.table(lifecycle.order_life(self.messages), "life")
+        return scratch.table(lifecycle.order_life(self.messages, self.scope), "life")
 
     @cached_property
     def effects(self) -> DataFrame:
-        return scratch.table(lifecycle.effects(self.messages, self.life), "effects")
+        return scratch.table(lifecycle.effects(self.messages, self.life, self.scope), "effects")
 
     @cached_property
     def remaining(self) -> DataFrame:
@@ -54,11 +55,11 @@ class Stream:
 
 
 def stream(spark: SparkSession, sf_dir: str, view: str = "events") -> Stream:
-    """The stream of a folder: ``events``, ``touch`` or ``orders``."""
+    """The stream of a folder: ``events``, ``touch``, ``orders`` or ``daily``."""
     key = (spark.sparkContext.applicationId, sf_dir, view)
     if key not in _built:
-        make = {"events": views.events, "touch": lambda s, d: views.events(s, d, touch=True), "orders": views.orders}[view]
-        _built[key] = Stream(make(spark, sf_dir))
+        make = {"events": views.events, "touch": lambda s, d: views.events(s, d, touch=True), "orders": views.orders, "daily": views.daily}[view]
+        _built[key] = Stream(make(spark, sf_dir), ("session",) if view == "daily" else ())
     return _built[key]
 
 

@@ -74,7 +74,7 @@ def test_conservation(spark):
 
 def test_errors_are_counted(spark):
     s = made(spark, "error-paths", 6000)
-    n = fold.counters(fold.replay(s.messages, by_locate=False)).first()
+    n = fold.counters(fold.replay(s.messages, by=())).first()
     assert min(n.unknown_ref, n.duplicate_ref, n.overfill, n.zero_qty) > 0
 
 
@@ -95,7 +95,7 @@ ANOMALIES = [
 
 
 def test_anomalies(spark):
-    found = fold.replay(messages(spark, ANOMALIES), by_locate=False).orderBy("idx").collect()
+    found = fold.replay(messages(spark, ANOMALIES), by=()).orderBy("idx").collect()
     assert [r.outcome for r in found] == [
         "applied", "duplicate_ref", "zero_qty", "bad_locate", "applied", "unknown_ref", "zero_qty", "unknown_ref", "applied", "applied", "applied", "overfill",
     ]
@@ -105,6 +105,36 @@ def test_anomalies(spark):
     assert lifecycle.duplicate_refs(messages(spark, ANOMALIES)).count() > 0
 
 
+@pytest.mark.parametrize("rows", [ANOMALIES, [
+    ("A", 1, 7, None, "B", 10, 5), ("E", 1, 7, None, None, 4, None), ("U", 1, 7, 8, None, 9, 6), ("U", 1, 8, 7, None, 3, 7), ("D", 1, 7, None, None, 0, None),
+    ("A", 1, 9, None, "S", 1, 8), ("U", 1, 9, 8, None, 2, 9), ("A", 1, 8, None, "S", 1, 8), ("U", 1, 8, 8, None, 2, 9), ("X", 1, 8, None, None, 9, None),
+]])
+def test_references_that_repeat(spark, rows):
+    """Joined lives and the fold agree on streams that break every rule."""
+    s = Stream(messages(spark, rows))
+    folded = fold.replay(s.messages, by=())
+    assert lifecycle.counters(s.messages, s.life, s.effects).first().asDict() == fold.counters(folded).first().asDict()
+    assert [tuple(r) for r in s.after.orderBy("idx").select("idx", *diff.TOP).collect()] == [tuple(r) for r in folded.orderBy("idx").select("idx", *diff.TOP).collect()]
+
+
+def test_references_of_two_days(spark):
+    rows = [("A", 1, 7, None, "B", 10, 5), ("D", 1, 7, None, None, 0, None), ("A", 1, 7, None, "B", 20, 6), ("E", 1, 7, None, None, 5, None)]
+    df = messages(spark, rows).withColumn("session", F.when(F.col("idx") < 2, F.lit("2024-01-01")).otherwise("2024-01-02").cast("date"))
+    s = Stream(df, ("session",))
+    assert sorted((r.born, r.died, r.qty0) for r in s.life.collect()) == [(0, 1, 10), (2, None, 20)]
+    assert s.effects.count() == 2 and s.remaining.first().rem == 15
+    n = lifecycle.counters(s.messages, s.life, s.effects).first()
+    assert (n.adds, n.deletes, n.executes, n.unknown_ref, n.duplicate_ref) == (2, 1, 1, 0, 0)
+    # without days the second add is a use after death, which is no duplicate either
+    assert sorted((r.born, r.died) for r in Stream(df).life.collect()) == [(0, 1), (2, None)]
+
+
+def test_fixture_with_faults(spark):
+    s = made(spark, "error-paths", 4000)
+    folded = fold.replay(s.messages, by=())
+    assert lifecycle.counters(s.messages, s.life, s.effects).first().asDict() == fold.counters(folded).first().asDict()
+
+
 def test_priority_and_queries(spark):
     rows = [("A", 1, 1, None, "B", 100, 500), ("A", 1, 2, None, "B", 10, 500), ("X", 1, 1, None, None, 40, None), ("U", 1, 2, 3, None, 10, 500), ("A", 1, 4, None, "B", 5, 400)]
     s = Stream(messages(spark, rows))

@@ -123,6 +123,8 @@ def encoded(row: dict[str, Column]) -> Column:
                 parts.append(F.lit(bytes(offset - at)))
             parts.append(part(name, width, how))
             at = offset + width
+        if at < LENGTHS[message]:  # fields that are not decoded
+            parts.append(F.lit(bytes(LENGTHS[message] - at)))
         body = F.concat(*parts)
         out = F.when(row["type"] == message, body) if out is None else out.when(row["type"] == message, body)
     return out

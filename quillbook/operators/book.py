@@ -1,24 +1,29 @@
 """Questions about the book: levels, depth, queues, and the top at any message.
 
-The top of book at every message is a stabbing query: which level segments (spans
-of the stream over which a level keeps one quantity) cover the message?  Segments
-are cut into aligned power-of-two ranges, at most two per size, each range keeps
-the best of its segments, and a message looks up the range of each size that it
-lies in.  That costs rows in proportion to n log n, where joining messages with all
-live levels costs their product, and keys are spread over ranges, so that one busy
-instrument does not land in one task.
+The top of book at every message is a merge of messages with level changes.  A busy
+instrument would be one long merge, so every instrument's part of the stream is cut
+into stretches of about ``STRETCH`` of its messages: the levels that stand where a
+stretch begins are sums over the stretches before, carried in as rows, and stretches
+are merged apart, in order, holding the levels of one instrument.  Rows grow with the
+messages, and with the levels that stand at the few cuts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import scratch
 from .lifecycle import is_book
 
+#: Messages of an instrument after which a new stretch begins, and places of the stream
+#: that are never parted: a stretch has fewer messages than both together.
+STRETCH, CELL = 1 << 18, 1 << 20
+
 
 def live_at(life: DataFrame, idx: int | None = None) -> DataFrame:
     """Orders live after message ``idx`` (None: at the end)."""
@@ -54,56 +59,120 @@ def find(life: DataFrame, changed: DataFrame, refs: DataFrame, idx: int | None =
     return remaining(life, changed, idx).join(refs.select("ref").distinct(), "ref", "left_semi").select("ref", "locate", "side", "price", "rem")
 
 
-def segments(life: DataFrame, changed: DataFrame, end: Column | int) -> DataFrame:
-    """``locate, side, price, a, b, qty``: the level's quantity after messages a to b - 1."""
-    births = life.select("locate", "side", "price", F.col("born").alias("idx"), F.col("qty0").alias("dq"))
-    cuts = changed.select("locate", "side", "price", "idx", F.when(F.col("dies"), -F.col("before")).otherwise(-F.col("red")).alias("dq"))
-    steps = births.unionByName(cuts).groupBy("locate", "side", "price", "idx").agg(F.sum("dq").alias("dq"))
-    at = Window.partitionBy("locate", "side", "price").orderBy("idx")
-    out = steps.select(
-        "locate", "side", "price", F.col("idx").alias("a"), F.coalesce(F.lead("idx").over(at), F.lit(end)).alias("b"), F.sum("dq").over(at).alias("qty")
-    )
-    return out.where("qty > 0 AND a < b")
-
-
-def _cover(a: Column, b: Column, sizes: int) -> Column:
-    """The aligned ranges that make up [a, b): ``size`` (a power of two) and ``node``."""
-    def of(size: Column) -> Column:
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), size)
-        low, high = F.floor((a + one - 1) / one), F.floor(b / one)
-        has = low < high
-        node = lambda at: F.struct(size.alias("size"), at.cast("long").alias("node"))
-        return F.array(F.when(has & (F.pmod(low, F.lit(2)) == 1), node(low)), F.when(has & (F.pmod(high, F.lit(2)) == 1), node(high - 1)))
-
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(sizes)), of))
-    return F.filter(F.array_distinct(every), lambda x: x.isNotNull())
-
-
-def top_of_book(points: DataFrame, spans: DataFrame, end: int) -> DataFrame:
-    """``points`` (with ``locate`` and ``at``) with ``bid_px, bid_qty, ask_px, ask_qty``
-    after message ``at``; 0 where a side is empty.  ``end`` is beyond every index."""
-    sizes = max(1, int(end).bit_length())
-    cut = spans.select("locate", "side", "price", "qty", F.explode(_cover(F.col("a"), F.col("b"), sizes)).alias("r"))
-    best = F.struct("price", "qty")
-    nodes = cut.groupBy("locate", "r.size", "r.node").agg(
-        F.max(F.when(F.col("side") == "B", best)).alias("bid"), F.min(F.when(F.col("side") == "S", best)).alias("ask")
-    )
-    asked = points.select("locate", "at").distinct().withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(sizes))))
-    asked = asked.withColumn("node", F.call_function("shiftright", F.col("at"), F.col("size")))
-    tops = asked.join(nodes, ["locate", "size", "node"]).groupBy("locate", "at").agg(F.max("bid").alias("bid"), F.min("ask").alias("ask"))
-    zero = F.lit(0).cast("long")
-    return points.join(tops, ["locate", "at"], "left").select(
-        *points.columns, F.coalesce("bid.price", zero).alias("bid_px"), F.coalesce("bid.qty", zero).alias("bid_qty"),
-        F.coalesce("ask.price", zero).alias("ask_px"), F.coalesce("ask.qty", zero).alias("ask_qty"),
-    )
-
-
-def message_tops(messages: DataFrame, spans: DataFrame, before: bool = False) -> DataFrame:
-    """The top of each book message's own locate, after it or (``before``) ahead of it:
-    ``idx, locate, type, ts_ns, session`` and the top."""
-    end = (messages.agg(F.max("idx")).first()[0] or 0) + 1
-    points = messages.where(is_book()).select("idx", "locate", "type", "ts_ns", "session", (F.col("idx") - int(before)).alias("at"))
-    return top_of_book(points, spans, end).drop("at")
+def stretches(messages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, cell, stretch``: to which stretch of its instrument a cell of the stream
+    belongs, where the instrument has book messages."""
+    cells = messages.where(is_book()).groupBy(*keys, F.floor(F.col("idx") / CELL).alias("cell")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row per cell
+    return cells.select(*keys, "cell", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / STRETCH).alias("stretch"))
+
+
+def level_changes(life: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, idx, side, price, dq``: what births and effects do to levels."""
+    births = life.select(*keys, F.col("born").alias("idx"), "side", "price", F.col("qty0").alias("dq"))
+    cuts = changed.select(*keys, "idx", "side", "price", F.when(F.col("dies"), -F.col("before")).otherwise(-F.col("red")).alias("dq"))
+    return births.unionByName(cuts)
+
+
+class _Side:
+    """Levels of one side; the best of them is looked for only after a change."""
+
+    __slots__ = ("heap", "levels", "sign")
+
+    def __init__(self, sign: int):
+        self.sign, self.levels, self.heap = sign, {}, []
+
+    def change(self, price: int, dq: int) -> None:
+        qty = self.levels.get(price, 0) + dq
+        if qty == 0:
+            del self.levels[price]
+        else:
+            if price not in self.levels:
+                heapq.heappush(self.heap, self.sign * price)
+            self.levels[price] = qty
+
+    def top(self) -> tuple[int, int]:
+        while self.heap:
+            price = self.sign * self.heap[0]
+            if price in self.levels:
+                return price, self.levels[price]
+            heapq.heappop(self.heap)
+        return 0, 0
+
+
+TOP = ("bid_px", "bid_qty", "ask_px", "ask_qty")
+
+
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by group, ``idx`` and ``kind``: carried levels and changes move the
+    levels, a message (kind 1) sees them ahead of its own changes and after them."""
+    group = waiting = None
+    out: list[tuple] = []
+    for batch in batches:
+        for own, idx, kind, side, price, dq in zip(*(batch[c].tolist() for c in ("group", "idx", "kind", "side", "price", "dq")), strict=True):
+            if waiting is not None and (own != group or idx != waiting[0]):
+                out.append((*waiting, *bids.top(), *asks.top()))
+                waiting = None
+            if own != group:
+                group, bids, asks = own, _Side(-1), _Side(1)
+            if kind == 1:
+                waiting = (idx, *bids.top(), *asks.top())
+            else:
+                (bids if side == "B" else asks).change(price, dq)
+        if out:
+            yield pd.DataFrame(out, columns=["idx", *(f"before_{c}" for c in TOP), *TOP])
+            out = []
+    if waiting is not None:
+        yield pd.DataFrame([(*waiting, *bids.top(), *asks.top())], columns=["idx", *(f"before_{c}" for c in TOP), *TOP])
+
+
+def tops(messages: DataFrame, life: DataFrame, changed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The top of each book message's own locate, ahead of it and after it: ``idx,
+    before_bid_px, ..., bid_px, bid_qty, ask_px, ask_qty``; 0 where a side is empty."""
+    keys = [*scope, "locate"]
+    cut = scratch.table(stretches(messages, keys), "stretches")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        # changes of a locate without book messages are seen by none
+        return rows.withColumn("cell", F.floor(F.col("idx") / CELL)).join(scratch.small_side(cut), [*keys, "cell"]).drop("cell")
+
+    # a message at the wrong locate changes the owner's book where that has no messages of its own
+    changes = level_changes(life, changed, keys)
+    cells = changes.select(*keys, F.floor(F.col("idx") / CELL).alias("cell")).distinct()
+    every = cells.unionByName(cut.select(*keys, "cell")).distinct().join(cut, [*keys, "cell"], "left")
+    upto = Window.partitionBy(*keys).orderBy("cell")
+    cut = scratch.table(every.select(*keys, "cell", F.coalesce(F.max("stretch").over(upto), F.lit(0)).alias("stretch")), "stretches")
+    changes = scratch.table(placed(changes), "level_changes")
+    points = placed(messages.where(is_book()).select(*keys, "idx"))
+
+    level = [*keys, "side", "price"]
+    sums = changes.groupBy(*level, "stretch").agg(F.sum("dq").alias("dq"))
+    at = Window.partitionBy(*level).orderBy("stretch")
+    stands = sums.select(*level, F.col("stretch").alias("from"), F.lead("stretch").over(at).alias("next"), F.sum("dq").over(at).alias("dq"))
+    last = cut.groupBy(*keys).agg(F.max("stretch").alias("last"))
+    stands = stands.where("dq <> 0").join(last, keys).withColumn("to", F.coalesce("next", "last")).where(F.col("from") < F.col("to"))
+    carried = stands.withColumn("stretch", F.explode(F.sequence(F.col("from") + 1, F.col("to")))).select(*level, "dq", "stretch")
+
+    none = [F.lit(None).cast("string").alias("side"), F.lit(0).cast("long").alias("price"), F.lit(0).cast("long").alias("dq")]
+    rows = carried.select(*keys, "stretch", F.lit(-1).cast("long").alias("idx"), F.lit(0).alias("kind"), "side", "price", "dq")
+    rows = rows.unionByName(points.select(*keys, "stretch", "idx", F.lit(1).alias("kind"), *none))
+    rows = rows.unionByName(changes.select(*keys, "stretch", "idx", F.lit(2).alias("kind"), "side", "price", "dq"))
+    group = F.concat_ws("/", *[F.col(c).cast("string") for c in (*keys, "stretch")])
+    rows = rows.select(group.alias("group"), "idx", "kind", "side", "price", "dq").repartition("group").sortWithinPartitions("group", "idx", "kind")
+    schema = "idx long, " + ", ".join(f"{c} long" for c in (*(f"before_{c}" for c in TOP), *TOP))
+    return rows.mapInPandas(_merge, schema)
+
+
+def carried(rows: DataFrame, key: str, order: str, value: str, cell: int = 1 << 16) -> DataFrame:
+    """``rows`` with the last ``value`` that is not null, of the same ``key``, at or before
+    each: found within cells of the stream, and before them in the cells before."""
+    dealt = rows.withColumn("_cell", F.floor(F.col(order) / cell))
+    lasts = dealt.groupBy(key, "_cell").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row per cell
+    lasts = lasts.select(key, "_cell", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    within = Window.partitionBy(key, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.withColumn(value, F.last(value, ignorenulls=True).over(within)).join(lasts, [key, "_cell"])
+    return met.withColumn(value, F.coalesce(value, "_carried")).select(*rows.columns)
 
 
 def running_sum(steps: DataFrame, order: str, value: str, bucket: int = 1 << 16) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# The strategy's defaults.
 @dataclass(frozen=True)
 class Strategy:
     ratio: int = 4
@@ -65,17 +66,29 @@ def orders(found: DataFrame, strategy: Strategy = Strategy()) -> DataFrame:
     return found.repartition("locate").sortWithinPartitions("locate", "idx").mapInPandas(fold, found.schema)
 
 
-_PRIME, _MASK = 0x100000001B3, (1 << 64) - 1
+# Offset basis, prime and width of the digest.
+_BASIS, _PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
+
+
+def digest_row(decided: DataFrame) -> DataFrame:
+    """``digest, orders``: FNV-1a over (locate, action, price, qty) of the orders in stream
+    order, 16 hex digits, and their number.  The function has no way to be combined, so
+    one task folds the orders; they are sorted by the cluster and stream through it."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        value, n = _BASIS, 0
+        for batch in batches:
+            for row in zip(*(batch[c].tolist() for c in ("locate", "action", "price", "qty")), strict=True):
+                n += 1
+                for byte in b"".join(int(field).to_bytes(8, "little") for field in row):
+                    value = ((value ^ byte) * _PRIME) & _MASK
+        yield pd.DataFrame({"digest": [f"{value:016x}"], "orders": [n]})
+
+    ordered = decided.select("idx", "locate", "action", "price", "qty").repartition(1).sortWithinPartitions("idx")
+    folded = ordered.mapInPandas(fold, "digest string, orders long")
+    # one row even where nothing was decided
+    return folded.agg(F.coalesce(F.max("digest"), F.lit(f"{_BASIS:016x}")).alias("digest"), F.coalesce(F.max("orders"), F.lit(0)).cast("long").alias("orders"))
 
 
 def digest(decided: DataFrame) -> tuple[str, int]:
-    """FNV-1a over (locate, action, price, qty) of the orders in stream order, 16 hex
-    digits, and their number.  Sorting is distributed; the fold streams through the
-    driver partition by partition, as the function has no way to be combined."""
-    value, n = 0xCBF29CE484222325, 0
-    for row in decided.orderBy("idx").select("locate", "action", "price", "qty").toLocalIterator():
-        n += 1
-        for field in row:
-            for byte in int(field).to_bytes(8, "little"):
-                value = ((value ^ byte) * _PRIME) & _MASK
-    return f"{value:016x}", n
+    return tuple(digest_row(decided).first())

@@ -33,14 +33,16 @@ def by_locate(messages: DataFrame, locate: int, last: int) -> DataFrame:
     return messages.where((F.col("idx") <= last) & ((F.col("type") == "S") | (F.col("locate") == locate)))
 
 
-def window(messages: DataFrame, start_ns: int, size: int) -> DataFrame:
+def window(messages: DataFrame, start_ns: int, size: int | None = None) -> DataFrame:
     """All messages up to the end of the window, with ``measured``: the ``size`` messages
-    from the first at or after ``start_ns`` on.  An incomplete window is an error."""
+    (None: all) from the first at or after ``start_ns`` on.  An incomplete window is an
+    error."""
     first = messages.where(F.col("ts_ns") >= start_ns).agg(F.min("idx")).first()[0]
     last = messages.agg(F.max("idx")).first()[0]
-    if first is None or last < first + size - 1:
-        raise ValueError(f"the stream ends before {size} messages from {start_ns} ns on")
-    return messages.where(F.col("idx") < first + size).withColumn("measured", F.col("idx") >= first)
+    if first is None or size is not None and last < first + size - 1:
+        raise ValueError(f"the stream ends before {size or 'any'} messages from {start_ns} ns on")
+    rows = messages if size is None else messages.where(F.col("idx") < first + size)
+    return rows.withColumn("measured", F.col("idx") >= first)
 
 
 def smooth(measured: DataFrame, rate: float) -> DataFrame:

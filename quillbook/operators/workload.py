@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import histogram as H
 from ..plans import scratch
-from .book import previous, running_sum
+from .book import carried, previous
 from .lifecycle import is_book
 
 NS = 1_000_000_000
@@ -31,8 +31,7 @@ def message_mix(messages: DataFrame) -> DataFrame:
 
 def trading_state(messages: DataFrame) -> DataFrame:
     """``messages`` with ``state`` as of each message: the last action at its locate."""
-    at = Window.partitionBy("locate").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return messages.withColumn("state", F.last("state", ignorenulls=True).over(at))
+    return carried(messages, "locate", "idx", "state")
 
 
 def crossings(tops: DataFrame, states: DataFrame) -> DataFrame:
@@ -76,11 +75,6 @@ def coverage(hist: DataFrame) -> DataFrame:
     return hist.select("kind", "bucket", "n", bounds).groupBy("kind", "within").agg(inside.cast("long").alias("n"), F.sum("n").cast("long").alias("all"))
 
 
-def lifetimes(life: DataFrame) -> DataFrame:
-    """``end_kind, lifetime`` (nanoseconds) of every dead order."""
-    return life.where("died IS NOT NULL").select("end_kind", (F.col("died_ns") - F.col("born_ns")).alias("lifetime"))
-
-
 def elapsed(messages: DataFrame, life: DataFrame) -> DataFrame:
     """``end_kind, days, lifetime`` of every dead order, whichever session it died in:
     the days between its sessions, and nanoseconds that include them."""
@@ -113,32 +107,44 @@ def snapshot_cuts(messages: DataFrame) -> DataFrame:
     return met.groupBy("session", "boundary_s").agg(F.min("first").alias("cut"))
 
 
-def _cuts_seen(messages: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``session, half, seen``: how many cuts lie at or before a message of that half
-    hour.  A cut is always the first message of its half hour, so this is one number
-    for all of them; a few dozen rows a session."""
-    half = F.floor(F.col("ts_ns") / (1800 * NS)).alias("half")
-    firsts = messages.groupBy("session", half).agg(F.min("idx").alias("idx"))
-    at = cuts.groupBy(F.col("cut").alias("idx")).agg(F.count("*").alias("n"))
-    steps = firsts.join(at, "idx", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return running_sum(steps, "idx", "n").select("session", "half", F.col("running").alias("seen"))
+def _cuts_seen(messages: DataFrame, cuts: DataFrame, cell: int = 1 << 16) -> DataFrame:
+    """``cell, base, cuts``: for every cell of the stream, how many cuts lie in the cells
+    before, and those in it."""
+    last = messages.agg(F.max("idx")).first()[0] or 0
+    cells = messages.sparkSession.range(0, last // cell + 1).withColumnRenamed("id", "cell")
+    own = cuts.groupBy(F.floor(F.col("cut") / cell).alias("cell")).agg(F.collect_list("cut").alias("cuts"))  # 14 a session
+    met = cells.join(own, "cell", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<bigint>")))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for 65,536 messages
+    return met.select("cell", F.coalesce(F.sum(F.size("cuts")).over(before), F.lit(0)).alias("base"), "cuts")
+
+
+def _seen(rows: DataFrame, at: str, seen: DataFrame, name: str, cell: int = 1 << 16) -> DataFrame:
+    """``rows`` with the number of cuts at or before their ``at``."""
+    met = rows.withColumn("cell", F.floor(F.col(at) / cell)).join(scratch.small_side(seen), "cell", "left")
+    inside = F.size(F.filter("cuts", lambda c: c <= F.col(at)))
+    return met.withColumn(name, (F.col("base") + inside).cast("long")).drop("cell", "base", "cuts")
+
+
+#: ``boundary_s`` of the last snapshot, at the end of the stream.
+END_S = 86_400
 
 
 def depth_snapshots(messages: DataFrame, life: DataFrame) -> DataFrame:
-    """Books just before each half hour of each session: live orders, sides, and the
-    distribution of levels per side and of orders per level.
+    """Books just before each half hour of each session, and at the end of the stream
+    (``boundary_s`` 86,400 of the last session): live orders, sides, and the distribution
+    of levels per side and of orders per level.
 
     Cuts are numbered in stream order; those that see an order live are the range
-    of numbers between its birth and its death, found by equi-joins."""
+    of numbers between its birth and its death."""
     cuts = scratch.table(snapshot_cuts(messages), "cuts")
     number = Window.orderBy("cut", "session", "boundary_s")  # 14 rows a session
     numbered = cuts.select(F.row_number().over(number).cast("long").alias("k"), F.col("session").alias("at_session"), "boundary_s")
+    n = cuts.count()
+    final = messages.agg(F.max_by("session", "idx").alias("at_session"))
+    numbered = numbered.unionByName(final.select(F.lit(n + 1).cast("long").alias("k"), "at_session", F.lit(END_S).cast("long").alias("boundary_s")))
     seen = scratch.table(_cuts_seen(messages, cuts), "seen")
-    half = F.floor(F.col("ts_ns") / (1800 * NS)).alias("half")
-    ends = messages.select(F.col("idx").alias("died"), "session", half).join(scratch.small_side(seen), ["session", "half"])
-    births = life.select("born", "died", "locate", "side", "price", "session", F.floor(F.col("born_ns") / (1800 * NS)).alias("half"))
-    births = births.join(scratch.small_side(seen.withColumnRenamed("seen", "from")), ["session", "half"]).drop("session", "half")
-    spans = births.join(ends.select("died", F.col("seen").alias("to")), "died", "left").withColumn("to", F.coalesce("to", F.lit(cuts.count())))
+    spans = _seen(_seen(life.select("born", "died", "locate", "side", "price"), "born", seen, "from"), "died", seen, "to")
+    spans = spans.withColumn("to", F.coalesce("to", F.lit(n + 1)))
     live = spans.where(F.col("from") < F.col("to")).withColumn("k", F.explode(F.sequence(F.col("from") + 1, F.col("to"))))
     live = live.join(scratch.small_side(numbered), "k")
     at = ["at_session", "boundary_s"]

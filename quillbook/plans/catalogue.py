@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codec
+from ..functions import codec, text
 from ..functions import histogram as H
 from ..operators import book, decide, diff, directory, feed, fold, lifecycle, stats, views, workload
-from ..sources import framed
+from ..sources import framed, sinks
 from ..streaming import book_stream
 from . import oracle as O
 from . import scratch
@@ -22,7 +22,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 QUIET = 50  # a shorter cool-down than the strategy's own, under which more orders pass
-FEED = (workload.OPEN, 500)  # start and size of the measured window
+FEED = workload.OPEN  # start of the measured window, which lasts to the end
 RATE = 250_000.0
 
 
@@ -83,10 +83,9 @@ def framed_scan(s):
     """Messages written as framed binary files, scanned and decoded again."""
     rows = s.messages.where(_WIRE)
     fields = {c: F.col(c) for c in ("type", "locate", "ts_ns", "ref", "new_ref", "side", "shares", "price", "state")}
-    path = f"{scratch.folder(rows.sparkSession)}/frames-{uuid.uuid4().hex}".removeprefix("file://")
+    path = f"{scratch.folder(rows.sparkSession)}/frames-{uuid.uuid4().hex}"
     framed.write_framed(rows.select("idx", codec.encoded(fields | {"tracking": F.lit(0)}).alias("body")), path)
-    read = rows.sparkSession.read.format("framed").option("path", path).load()
-    return framed.decode(framed.in_order(read)).select("idx", "status", *_ROUND[1:])
+    return framed.decode(framed.in_order(framed.read_framed(rows.sparkSession, path))).select("idx", "status", *_ROUND[1:])
 
 
 _STATUS = """
@@ -211,10 +210,11 @@ def queue_fifo(s):
     return book.queue(s.remaining)
 
 
-@query(O.on_events("SELECT ref, locate, side, price, rem::BIGINT AS rem FROM rem WHERE ref % 3 = 0"))
+@query(O.on_events("SELECT ref, locate, side, price, rem::BIGINT AS rem FROM rem"))
 @_on()
 def find_orders(s):
-    return book.find(s.life, s.effects, s.messages.where("type IN ('A', 'U') AND pmod(idx, 3) = 0").select(F.coalesce("new_ref", "ref").alias("ref")))
+    """Every reference that was ever created, looked up at the end."""
+    return book.find(s.life, s.effects, s.messages.where("type IN ('A', 'U')").select(F.coalesce("new_ref", "ref").alias("ref")))
 
 
 @query(O.on_events("SELECT idx, type, live FROM running"))
@@ -300,41 +300,6 @@ def coverage(s):
     return workload.coverage(H.histogram(_distances(s).where("ticks IS NOT NULL"), F.col("ticks"), "kind"))
 
 
-# times of day only, as this SQL has it: deaths in a later session count without the days between, or not at
-# all where they come at an earlier time of day; lifetime_elapsed_* and order_ends hold every death
-_LIVED = "FROM (SELECT end_kind, died_ns - born_ns AS lifetime FROM life WHERE died IS NOT NULL) WHERE lifetime >= 0"
-
-
-@query(O.on_events(f"SELECT end_kind, {O.bucket('lifetime')} AS bucket, count(*) AS n {_LIVED} GROUP BY ALL"))
-@_on()
-def lifetime_hist(s):
-    return H.histogram(workload.lifetimes(s.life).where("lifetime >= 0"), F.col("lifetime"), "end_kind").select("end_kind", "bucket", "n")
-
-
-_BOUNDS = {"within_1s": 10**9, "within_1m": 60 * 10**9, "within_1h": 3600 * 10**9}
-
-
-@query(O.on_events(
-    "SELECT end_kind, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {O.highest('b')} <= {v}) AS {k}" for k, v in _BOUNDS.items())
-    + f" FROM (SELECT end_kind, {O.bucket('lifetime')} AS b {_LIVED}) GROUP BY end_kind"
-))
-@_on()
-def lifetime_shares(s):
-    """Lifetimes in buckets that lie wholly within each bound."""
-    hist = H.histogram(workload.lifetimes(s.life).where("lifetime >= 0"), F.col("lifetime"), "end_kind")
-    inside = [F.sum(F.when(H.highest_of(F.col("bucket")) <= v, F.col("n")).otherwise(0)).cast("long").alias(k) for k, v in _BOUNDS.items()]
-    return hist.groupBy("end_kind").agg(F.sum("n").cast("long").alias("n"), *inside)
-
-
-@query(O.on_events(
-    O.quantiles(f"(SELECT end_kind, lifetime {_LIVED})", "lifetime", "end_kind", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
-))
-@_on()
-def lifetime_quantiles(s):
-    hist = H.histogram(workload.lifetimes(s.life).where("lifetime >= 0"), F.col("lifetime"), "end_kind")
-    return H.quantiles(hist, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, "end_kind")
-
-
 _ELAPSED = (
     "FROM (SELECT end_kind, d.session - l.session AS days, (d.session - l.session) * 86400000000000 + died_ns - born_ns AS lifetime "
     "FROM life l JOIN m d ON d.idx = l.died)"
@@ -345,9 +310,13 @@ def _elapsed(s: Stream) -> DataFrame:
     return H.histogram(workload.elapsed(s.messages, s.life), F.col("lifetime"), "end_kind")
 
 
+# The bounds of the shares of short lives.
+_BOUNDS = {"within_100us": 10**5, "within_1ms": 10**6, "within_1s": 10**9}
+
+
 @query(O.on_events(f"SELECT end_kind, {O.bucket('lifetime')} AS bucket, count(*) AS n {_ELAPSED} GROUP BY ALL"))
 @_on()
-def lifetime_elapsed_hist(s):
+def lifetime_hist(s):
     """Lifetimes of all dead orders, over sessions."""
     return _elapsed(s).select("end_kind", "bucket", "n")
 
@@ -357,18 +326,19 @@ def lifetime_elapsed_hist(s):
     + f" FROM (SELECT end_kind, {O.bucket('lifetime')} AS b {_ELAPSED}) GROUP BY end_kind"
 ))
 @_on()
-def lifetime_elapsed_shares(s):
+def lifetime_shares(s):
+    """Lifetimes in buckets that lie wholly within each bound."""
     hist = _elapsed(s)
     inside = [F.sum(F.when(H.highest_of(F.col("bucket")) <= v, F.col("n")).otherwise(0)).cast("long").alias(k) for k, v in _BOUNDS.items()]
     return hist.groupBy("end_kind").agg(F.sum("n").cast("long").alias("n"), *inside)
 
 
 @query(O.on_events(
-    O.quantiles(f"(SELECT end_kind, lifetime {_ELAPSED})", "lifetime", "end_kind", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    O.quantiles(f"(SELECT end_kind, lifetime {_ELAPSED})", "lifetime", "end_kind", {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999})
 ))
 @_on()
-def lifetime_elapsed_quantiles(s):
-    return H.quantiles(_elapsed(s), {"p50": 0.5, "p90": 0.9, "p99": 0.99}, "end_kind")
+def lifetime_quantiles(s):
+    return H.quantiles(_elapsed(s), {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}, "end_kind")
 
 
 @query(O.on_events(
@@ -425,6 +395,7 @@ _SNAPSHOTS = """
 cuts AS (
   SELECT session, boundary_s, min(idx) AS cut FROM (SELECT DISTINCT session FROM m) JOIN (SELECT unnest(range(34200, 57601, 1800)) AS boundary_s) ON true
   JOIN m USING (session) WHERE ts_ns >= boundary_s * 1000000000 GROUP BY ALL
+  UNION ALL SELECT arg_max(session, idx), 86400, max(idx) + 1 FROM m
 ), alive AS (SELECT c.session, boundary_s, locate, side, price FROM cuts c JOIN life l ON born < cut AND (died IS NULL OR died >= cut)),
 lev AS (SELECT session, boundary_s, locate, side, price, count(*) AS orders FROM alive GROUP BY ALL),
 sid AS (SELECT session, boundary_s, locate, side, count(*) AS levels FROM lev GROUP BY ALL)"""
@@ -520,20 +491,20 @@ def slice_locate(s):
 
 _FEED = f"""
 feed AS (
-  SELECT *, idx >= first AS measured FROM m, (SELECT min(idx) AS first FROM m WHERE ts_ns >= {FEED[0]}) WHERE idx < first + {FEED[1]}
+  SELECT *, idx >= first AS measured FROM m, (SELECT min(idx) AS first FROM m WHERE ts_ns >= {FEED})
 ), span AS (SELECT arg_min(ts_ns, idx) AS a, arg_max(ts_ns, idx) AS b, count(*) AS n FROM feed WHERE measured)"""
 
 
 @query(O.on_events(f"SELECT {_ROW}, measured FROM feed", more=_FEED))
 @_on()
 def feed_window(s):
-    return feed.window(s.messages, *FEED).select(*_ROW.split(", "), "measured")
+    return feed.window(s.messages, FEED).select(*_ROW.split(", "), "measured")
 
 
 @query(O.on_events(f"SELECT idx, round((idx - first) * {1e9 / RATE!r}::DOUBLE)::BIGINT AS offset_ns FROM feed WHERE measured", more=_FEED))
 @_on()
 def schedule_smooth(s):
-    return feed.smooth(feed.window(s.messages, *FEED), RATE)
+    return feed.smooth(feed.window(s.messages, FEED), RATE)
 
 
 @query(O.on_events(
@@ -543,7 +514,7 @@ def schedule_smooth(s):
 ))
 @_on()
 def schedule_bursty(s):
-    return feed.bursty(feed.window(s.messages, *FEED), RATE)
+    return feed.bursty(feed.window(s.messages, FEED), RATE)
 
 
 # -- decisions -----------------------------------------------------------------
@@ -581,10 +552,13 @@ def orders_decided_quick(s):
     return decide.orders(decide.signals(s.after, strategy), strategy)
 
 
-@query()
+@query(O.on_events(f"""
+SELECT lower(lpad(to_hex(list_reduce([14695981039346656037::HUGEINT] || list(byte ORDER BY idx, f, b), lambda x, y: (xor(x, y) * 1099511628211) % 18446744073709551616)::UBIGINT), 16, '0')) AS digest,
+       count(DISTINCT idx) AS orders
+FROM (SELECT idx, f, b, ((CASE f WHEN 0 THEN locate WHEN 1 THEN action WHEN 2 THEN price ELSE qty END >> (8 * b)) & 255)::HUGEINT AS byte
+      FROM ({_TAKEN.replace('s.locate, s.action, s.price, s.qty', 's.locate::BIGINT AS locate, s.action::BIGINT AS action, s.price::BIGINT AS price, s.qty::BIGINT AS qty')}), (SELECT unnest(range(4)) AS f), (SELECT unnest(range(8)) AS b))""", touch=True, more=_DECIDED.format(cooldown=1000)))
 def order_digest(spark, sf_dir):
-    value, n = decide.digest(orders_decided(spark, sf_dir))
-    return spark.createDataFrame([(value, n)], "digest string, orders long")
+    return decide.digest_row(orders_decided(spark, sf_dir))
 
 
 @query(O.on_events("SELECT idx, locate, bid_px, bid_qty, ask_px, ask_qty FROM post", touch=True))
@@ -634,13 +608,6 @@ def book_diff_fold(s):
     return tops.unionByName(counts).agg(F.sum("n").cast("long").alias("mismatches"))
 
 
-@query("SELECT 0::BIGINT AS mismatches")
-@_on("touch")
-def depth_diff_self(s):
-    depth = book.depth(s.remaining)
-    return diff.depth_mismatches(depth, book.depth(book.remaining(s.life, s.effects, s.end))).agg(F.count("*").alias("mismatches"))
-
-
 _CUTS = """
 numbered AS (SELECT idx, row_number() OVER (ORDER BY idx) AS k FROM book),
 cuts AS (SELECT idx AS cut FROM numbered WHERE k % 2500 = 0 UNION SELECT max(idx) FROM numbered),
@@ -657,7 +624,57 @@ held AS (
 @_on()
 def depth_checkpoints(s):
     """Depths after every 2,500th book message and the last: what a full comparison reads."""
-    return diff.checkpoint_depths(s.messages, s.life, s.effects, 2500)
+    return diff.checkpoint_depths(s.messages, s.life, s.effects, FULL_EVERY)
+
+
+FULL_EVERY = 2500
+
+
+def _checkpoints(second: str, mutation: str) -> str:
+    """Depths at checkpoints of a second chain of tables, whose names end in ``_2``."""
+    own = _CUTS[_CUTS.index("held AS"):].replace("held", "held_2").replace(" life ", " life_2 ").replace(" eff ", " eff_2 ")
+    levels = lambda end: (
+        f"dep_at{end} AS (SELECT cut, locate, side, row_number() OVER (PARTITION BY cut, locate, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END) AS rank, price, "
+        f"sum(rem)::BIGINT AS qty, count(*) AS orders FROM held{end} GROUP BY cut, locate, side, price)"
+    )
+    return f"{O.twice(mutation)}, {_CUTS}, {own}, {levels('')}, {levels('_2')}{second}"
+
+
+_FAULT = "NOT (type = 'X' AND idx % 5 = 0)"
+_DEPTHS_DIFFER = (
+    "SELECT cut, locate, side, rank, a.price AS a_price, a.qty AS a_qty, a.orders AS a_orders, b.price AS b_price, b.qty AS b_qty, b.orders AS b_orders "
+    "FROM dep_at a FULL JOIN dep_at_2 b USING (cut, locate, side, rank) WHERE a.price IS DISTINCT FROM b.price OR a.qty IS DISTINCT FROM b.qty OR a.orders IS DISTINCT FROM b.orders"
+)
+
+
+def _depths_differ(s: Stream) -> DataFrame:
+    other = _mutant(s)
+    a, b = (diff.checkpoint_depths(s.messages, x.life, x.effects, FULL_EVERY) for x in (s, other))
+    return diff.depth_mismatches(a, b, ("cut",))
+
+
+@query(O.on_events(_DEPTHS_DIFFER, more=_checkpoints("", _FAULT)))
+@_on()
+def depth_diff(s):
+    """Levels at checkpoints in which a book that loses some cancels differs from the right one."""
+    return _depths_differ(s)
+
+
+@query(O.on_events(
+    f"""SELECT (SELECT count(*) FROM m) AS messages, (SELECT count(*) FROM book) AS top_checks, {FULL_EVERY}::BIGINT AS full_every, ((SELECT count(*) FROM book) + {FULL_EVERY - 1}) // {FULL_EVERY} AS full_checks,
+  c.*, (SELECT count(*) FROM rem) AS live_end, p.idx AS mismatch_idx, p.locate AS mismatch_locate, p.type AS mismatch_type, p.what AS mismatch_what, p.idx IS NULL AS agree
+FROM ({_COUNTERS}) c LEFT JOIN first p ON true""",
+    more=_checkpoints(f""", differ AS ({_DEPTHS_DIFFER}), first AS (
+  SELECT * FROM (
+    SELECT 0 AS late, coalesce(a.idx, b.idx) AS idx, a.locate, a.type, concat_ws(',', {_PARTS}) AS what FROM post a FULL JOIN post_2 b ON a.idx = b.idx
+    UNION ALL SELECT 1, cut, d.locate, m.type, CASE WHEN min(d.side) = 'B' THEN 'bid depth' ELSE 'ask depth' END FROM differ d JOIN m ON m.idx = d.cut GROUP BY cut, d.locate, m.type
+  ) WHERE what <> '' ORDER BY idx, late, locate LIMIT 1)""", _FAULT),
+))
+@_on()
+def diff_record(s):
+    """The record of a comparison: checks made, agreement, counters and the first mismatch."""
+    live = s.remaining.agg(F.count("*").alias("live_end"))
+    return diff.agreement(s.messages, s.after, _mutant(s).after, _depths_differ(s), lifecycle.counters(s.messages, s.life, s.effects), live, FULL_EVERY)
 
 
 @query(O.on_events("SELECT count(*) AS levels, 0::BIGINT AS empty_level, 0::BIGINT AS unsorted FROM dep"))
@@ -752,16 +769,21 @@ def run_medians(spark, sf_dir):
     return stats.medians(stats.run_quantiles(_runs(spark, sf_dir), "variant", "run"), "variant")
 
 
+_COUNTED = {
+    "cycles": "sum(sample)", "instructions": "sum(sample + run)", "branch_misses": "sum(run)", "cache_misses": "sum(run * 2)", "l1_misses": "sum(sample // 100)",
+    "tlb_misses": "sum(run // 2)", "page_faults": "min(run)", "context_switches": "max(run)", "time_running_ns": "sum(sample) // 2", "time_enabled_ns": "sum(sample) // 2 + 7", "ops": "count(*)",
+}
+_MISSES = ("branch_misses", "cache_misses", "l1_misses", "tlb_misses", "page_faults", "context_switches")
+
+
 @query(O.on_runs(
-    "SELECT variant, cycles, instructions, ops, cycles / ops AS cycles_per_op, instructions / ops AS instr_per_op, instructions / cycles AS ipc FROM "
-    "(SELECT variant, sum(sample)::BIGINT AS cycles, sum(sample + run)::BIGINT AS instructions, count(*) AS ops FROM runs GROUP BY variant)"
+    f"SELECT *, cycles / ops AS cycles_per_op, instructions / ops AS instr_per_op, instructions / cycles AS ipc, cycles / time_running_ns AS ghz, 100.0::DOUBLE * time_running_ns / time_enabled_ns AS running_pct, "
+    f"{', '.join(f'{c} / ops AS {c}_per_op' for c in _MISSES)} FROM (SELECT variant, {', '.join(f'({v})::BIGINT AS {k}' for k, v in _COUNTED.items())} FROM runs GROUP BY variant)"
 ))
 def per_op_counters(spark, sf_dir):
-    counted = _runs(spark, sf_dir).groupBy("variant").agg(
-        F.sum("sample").alias("cycles"), F.sum(F.col("sample") + F.col("run")).alias("instructions"), F.count("*").alias("ops"),
-        F.lit(None).cast("long").alias("time_running_ns"), F.lit(None).cast("long").alias("time_enabled_ns"),
-    )
-    return stats.per_operation(counted, F.col("ops")).drop("time_running_ns", "time_enabled_ns", "ghz", "running_pct")
+    """Hardware counters per operation, from stand-ins for their counts."""
+    counted = _runs(spark, sf_dir).groupBy("variant").agg(*[F.expr(v.replace("//", "div")).cast("long").alias(k) for k, v in _COUNTED.items()])
+    return stats.per_operation(counted, F.col("ops"))
 
 
 def _per_run(spark, sf_dir):
@@ -770,7 +792,8 @@ def _per_run(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return stats.intervals(_per_run(spark, sf_dir), "variant", "p50")
+    """Medians over runs with intervals; tests hold it against the plain resampling."""
+    return stats.intervals(_per_run(spark, sf_dir), "variant", metrics=("p50",))
 
 
 @query()
@@ -779,7 +802,7 @@ def ratio_ci(spark, sf_dir):
 
 
 @query(O.on_runs(
-    "SELECT u, (u - n1 * n2 / 2) / sqrt(n1::DOUBLE * n2 * (n1 + n2 + 1) / 12) AS z FROM (SELECT sum(r) FILTER (WHERE variant = 'AF') - count(*) FILTER (WHERE variant = 'AF') * (count(*) FILTER (WHERE variant = 'AF') + 1) / 2 AS u, "
+    "SELECT NULL::DOUBLE AS p, u, (u - n1 * n2 / 2) / sqrt(n1::DOUBLE * n2 * (n1 + n2 + 1) / 12) AS z FROM (SELECT sum(r) FILTER (WHERE variant = 'AF') - count(*) FILTER (WHERE variant = 'AF') * (count(*) FILTER (WHERE variant = 'AF') + 1) / 2 AS u, "
     "count(*) FILTER (WHERE variant = 'AF') AS n1, count(*) FILTER (WHERE variant = 'RF') AS n2 FROM (SELECT variant, rank() OVER (ORDER BY sample) + (count(*) OVER (PARTITION BY sample) - 1) / 2 AS r FROM runs WHERE variant IN ('AF', 'RF')))"
 ))
 def mann_whitney(spark, sf_dir):
@@ -788,12 +811,14 @@ def mann_whitney(spark, sf_dir):
 
 _PAIRS = """
 pairs AS (
-  SELECT cpu_a, cpu_b, run, max(n) AS n, min(rtt)::BIGINT AS min_rtt, max(off) FILTER (WHERE place = 1) AS offset_at_min_rtt,
-         max(off) FILTER (WHERE by_off = best // 2) AS offset_median_best FROM (
+  SELECT cpu_a, cpu_b, run, max(n) AS n, min(rtt)::BIGINT AS min_rtt, (max(rtt) FILTER (WHERE place = n // 2 + 1))::BIGINT AS p50_rtt,
+         (max(rtt) FILTER (WHERE place = n * 99 // 100 + 1))::BIGINT AS p99_rtt, max(off) FILTER (WHERE place = 1) AS offset_at_min_rtt,
+         max(off) FILTER (WHERE by_off = best // 2) AS offset_median_best, max(rtt) FILTER (WHERE place = best) / 2 AS bound_best,
+         (count(*) FILTER (WHERE tb < t0 OR t3 < tb))::BIGINT AS violations FROM (
     SELECT *, CASE WHEN place <= best THEN row_number() OVER (PARTITION BY cpu_a, cpu_b, run, place <= best ORDER BY off, rtt) - 1 END AS by_off FROM (
       SELECT *, row_number() OVER (PARTITION BY cpu_a, cpu_b, run ORDER BY rtt, off) AS place, count(*) OVER (PARTITION BY cpu_a, cpu_b, run) AS n,
              greatest(1, count(*) OVER (PARTITION BY cpu_a, cpu_b, run) // 100) AS best
-      FROM (SELECT cpu_a, cpu_b, run, t3 - t0 AS rtt, tb - t0 - (t3 - t0) / 2 AS off FROM pings))) GROUP BY cpu_a, cpu_b, run
+      FROM (SELECT *, t3 - t0 AS rtt, tb - t0 - (t3 - t0) / 2 AS off FROM pings))) GROUP BY cpu_a, cpu_b, run
 )"""
 
 
@@ -803,8 +828,9 @@ def ping_pairs(spark, sf_dir):
 
 
 @query(O.on_runs(
-    "SELECT x.cpu_a, x.cpu_b, count(*) AS runs, median((x.offset_at_min_rtt - y.offset_at_min_rtt) / 2) AS skew, median((x.offset_at_min_rtt + y.offset_at_min_rtt) / 2) AS asymmetry, "
-    "min(least(x.min_rtt, y.min_rtt)) AS bound, CASE WHEN x.cpu_b - x.cpu_a = 4 THEN 'sibling' ELSE 'core' END AS relation "
+    "SELECT x.cpu_a, x.cpu_b, CASE WHEN x.cpu_b - x.cpu_a = 4 THEN 'sibling' ELSE 'core' END AS relation, count(*) AS runs, "
+    "median((x.offset_median_best - y.offset_median_best) / 2) AS skew, median((x.offset_median_best + y.offset_median_best) / 2) AS asymmetry, "
+    "median(greatest(x.bound_best, y.bound_best)) AS bound, median((x.p50_rtt + y.p50_rtt) / 4) AS half_rtt, sum(x.violations + y.violations)::BIGINT AS violations "
     "FROM pairs x JOIN pairs y ON x.cpu_a = y.cpu_b AND x.cpu_b = y.cpu_a AND x.run = y.run WHERE x.cpu_a < x.cpu_b GROUP BY x.cpu_a, x.cpu_b",
     more=_PAIRS,
 ))
@@ -812,6 +838,12 @@ def skew_pairs(spark, sf_dir):
     return stats.skew(stats.ping_pairs(views.pings(spark, sf_dir)))
 
 
+@query()
+def skew_intervals(spark, sf_dir):
+    """Intervals of the skew of every pair; tests hold it against the plain resampling."""
+    return stats.intervals(stats.skew_runs(stats.ping_pairs(views.pings(spark, sf_dir))), "cpu_a", "cpu_b", "relation", metrics=("skew",))
+
+
 def _capacity(spark, sf_dir):
     rate = _runs(spark, sf_dir).groupBy("variant", "run").agg((F.lit(1e3) * F.count("*") / F.sum("sample")).alias("rate"))
     return rate.select(F.substring("variant", 1, 1).alias("work"), F.when(F.substring("variant", 2, 1) == "F", "a").otherwise("b").alias("model"), "run", "rate")
@@ -830,22 +862,252 @@ def capacity_table(spark, sf_dir):
     return met.withColumn("b_over_a", F.col("b") / F.col("a"))
 
 
+@query()
+def capacity_intervals(spark, sf_dir):
+    """Median rates of both models by work, with intervals."""
+    return stats.intervals(_capacity(spark, sf_dir), "work", "model", metrics=("rate",))
+
+
+@query()
+def capacity_ratios(spark, sf_dir):
+    """The ratio and difference of model b's rate to a's by work, with intervals."""
+    return stats.against(_capacity(spark, sf_dir), "model", "rate", "a", "work")
+
+
+def _sweep(spark, sf_dir):
+    return _per_run(spark, sf_dir).withColumns({"arrival": F.when(F.pmod("run", F.lit(2)) == 0, "smooth").otherwise("bursty"), "rate": F.floor(F.col("run") / 4)})
+
+
+@query()
+def sweep_intervals(spark, sf_dir):
+    """Median latencies by variant, arrival and rate, with intervals."""
+    return stats.intervals(_sweep(spark, sf_dir), "variant", "arrival", "rate", metrics=("p50", "p99", "p999", "max"))
+
+
 @query(O.on_runs(
     "SELECT variant, arrival, rate, count(*) AS runs, median(p50)::DOUBLE AS p50, median(p90)::DOUBLE AS p90, median(max)::DOUBLE AS max FROM (SELECT *, CASE WHEN run % 2 = 0 THEN 'smooth' ELSE 'bursty' END AS arrival, run // 4 AS rate FROM q) GROUP BY ALL",
     more=_PER_RUN,
 ))
 def sweep_table(spark, sf_dir):
     """Median latencies by variant, arrival and rate."""
-    rows = _per_run(spark, sf_dir).withColumns({"arrival": F.when(F.pmod("run", F.lit(2)) == 0, "smooth").otherwise("bursty"), "rate": F.floor(F.col("run") / 4)})
-    return stats.medians(rows, "variant", "arrival", "rate", metrics=("p50", "p90", "max"))
+    return stats.medians(_sweep(spark, sf_dir), "variant", "arrival", "rate", metrics=("p50", "p90", "max"))
 
 
-@query(O.on_runs("SELECT variant AS window, count(DISTINCT digest) AS digests, count(DISTINCT orders) AS orders, count(DISTINCT digest) = 1 AND count(DISTINCT orders) = 1 AS agree FROM (SELECT variant, run, min(sample)::VARCHAR AS digest, count(*) > 0 AS orders FROM runs GROUP BY variant, run) GROUP BY variant".replace("AS window", 'AS "window"')))
+@query(O.on_runs(
+    "SELECT variant AS \"window\", count(DISTINCT digest) AS digests, count(DISTINCT orders) AS orders, count(DISTINCT digest) = 1 AND count(DISTINCT orders) = 1 AS agree "
+    "FROM (SELECT variant, run, max(sample)::VARCHAR AS digest, count(*) AS orders FROM runs GROUP BY variant, run) GROUP BY variant"
+))
 def digest_check(spark, sf_dir):
-    rows = _runs(spark, sf_dir).groupBy(F.col("variant").alias("window"), "run").agg(F.min("sample").cast("string").alias("digest"), (F.count("*") > 0).alias("orders"))
+    """Runs of a window with as many orders and the same digest agree."""
+    rows = _runs(spark, sf_dir).groupBy(F.col("variant").alias("window"), "run").agg(F.max("sample").cast("string").alias("digest"), F.count("*").alias("orders"))
     return stats.digests_agree(rows)
 
 
+# -- wire formats, directory, files ----------------------------------------------
+
+# Messages of every decoded type, made from events: the type goes by the index.
+_KINDS = "AFECXDURSH"
+_MADE = {
+    "locate": ("int", "idx % 9 + 1"), "tracking": ("int", "idx % 300"), "ts_ns": ("long", "idx * 1000 + 7"), "ref": ("long", "idx * 12345678901 + 5"), "new_ref": ("long", "idx * 3 + 1"),
+    "side": ("string", "CASE WHEN idx % 3 = 0 THEN 'B' ELSE 'S' END"), "shares": ("long", "idx % 1000 + 1"), "price": ("long", "idx % 90000 * 100 + 1"),
+    "stock": ("string", "concat('SY', idx % 9 + 1)"), "mpid": ("string", "concat('M', idx % 100)"), "match_no": ("long", "idx * 7"), "printable": ("boolean", "idx % 4 <> 0"),
+    "exec_price": ("long", "idx % 777 + 2"), "market_category": ("string", "CASE WHEN idx % 20 < 10 THEN 'Q' ELSE 'N' END"), "financial_status": ("string", "'N'"),
+    "round_lot": ("long", "CASE WHEN idx % 20 < 10 THEN 100 ELSE 10 END"), "round_lots_only": ("string", "'Y'"), "event_code": ("string", "CASE WHEN idx % 20 < 10 THEN 'O' ELSE 'Q' END"),
+    "state": ("string", "CASE WHEN idx % 20 < 10 THEN 'T' ELSE 'H' END"), "reason": ("string", "'NEWS'"),
+}
+_HEAD = ("locate", "tracking", "ts_ns")
+
+
+def _has(name: str) -> str:
+    """The types that carry a field, as an SQL list."""
+    kinds = _KINDS if name in _HEAD else [k for k in _KINDS if any(f[0] == name for f in codec.FIELDS[k]) or (name == "shares" and k == "D")]
+    return ", ".join(f"'{k}'" for k in kinds)
+
+
+def _made(own: str) -> str:
+    columns = ", ".join(f"CASE WHEN type IN ({_has(n)}) THEN {'CASE WHEN type = ' + repr('D') + f' THEN 0 ELSE {v} END' if n == 'shares' else v} END AS {n}" for n, (_, v) in _MADE.items())
+    return f"made AS (SELECT idx, type, {columns}, CASE WHEN type IN ('A', 'F') THEN type = 'F' END AS attributed FROM (SELECT event_id AS idx, substr('{_KINDS}', (event_id % 10 + 1)::INT, 1) AS type FROM events))\n{own}"
+
+
+def _every_type(spark, sf_dir) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("idx"))
+    rows = rows.withColumn("type", F.expr(f"substr('{_KINDS}', cast(idx % 10 + 1 AS int), 1)"))
+    return rows.select("idx", "type", *[F.expr(v).cast(kind).alias(n) for n, (kind, v) in _MADE.items()])
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    rows = _every_type(spark, sf_dir)
+    return rows.select("idx", codec.encoded({c: F.col(c) for c in rows.columns if c != "idx"}).alias("body"))
+
+
+def _read_back(spark, sf_dir, compression: str) -> DataFrame:
+    """Messages of every type written as framed files, scanned and decoded again."""
+    path = f"{scratch.folder(spark)}/frames-{uuid.uuid4().hex}"
+    framed.write_framed(_bodies(spark, sf_dir), path, compression)
+    return framed.decode(framed.in_order(framed.read_framed(spark, path)))
+
+
+@query(f"WITH {_made('SELECT * FROM made')}")
+def decode_all_types(spark, sf_dir):
+    """Every field of every decoded type, through the wire format and back."""
+    got = codec.decoded(F.col("body"))
+    return _bodies(spark, sf_dir).select("idx", got["type"], *[got[c] for c in (*_MADE, "attributed")])
+
+
+@query(f"WITH {_made('SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, type, locate, ts_ns, ref, shares, price, stock, event_code, state FROM made')}")
+def framed_gzip(spark, sf_dir):
+    """The same through compressed files."""
+    return _read_back(spark, sf_dir, "gzip").select("idx", "type", "locate", "ts_ns", "ref", "shares", "price", "stock", "event_code", "state")
+
+
+@query(f"WITH {_made('SELECT type, count(*) AS n, sum(locate)::BIGINT AS locates, sum(ts_ns)::BIGINT AS times FROM made GROUP BY type')}")
+def header_of_undecoded(spark, sf_dir):
+    """Types and headers of messages cut after the header, which are not decoded."""
+    cut = _bodies(spark, sf_dir).select(F.expr("substring(body, 1, 11)").alias("body"))
+    got = codec.decoded(F.col("body"))
+    status = codec.status_of(codec.type_of(F.col("body")), F.length("body")).alias("status")
+    rows = cut.select(status, got["type"], got["locate"], got["ts_ns"], got["ref"]).where("status = 'Truncated' AND ref IS NULL")
+    return rows.groupBy("type").agg(F.count("*").alias("n"), F.sum("locate").alias("locates"), F.sum("ts_ns").alias("times"))
+
+
+@query("WITH " + _made("""SELECT locate, arg_max(stock, idx) FILTER (WHERE type = 'R') AS symbol, arg_max(round_lot, idx) FILTER (WHERE type = 'R') AS round_lot,
+  arg_max(state, idx) FILTER (WHERE type = 'H') AS state, count(*) FILTER (WHERE type = 'R') > 0 AS known FROM made WHERE type IN ('R', 'H') GROUP BY locate"""))
+def directory_entries(spark, sf_dir):
+    """Names, round lots and states as the last messages have them."""
+    return directory.directory(_every_type(spark, sf_dir))
+
+
+@query("WITH " + _made("SELECT arg_max(event_code, idx) AS event_code FROM made WHERE type = 'S'"))
+def last_system_event(spark, sf_dir):
+    return directory.last_system_event(_every_type(spark, sf_dir))
+
+
+@query("WITH " + _made("""SELECT b.locate, coalesce(symbol, '') AS symbol, n FROM (SELECT locate, count(*) AS n FROM made WHERE type IN ('A', 'F', 'E', 'C', 'X', 'D', 'U') GROUP BY locate) b
+  LEFT JOIN (SELECT locate, arg_max(stock, idx) AS symbol FROM made WHERE type = 'R' GROUP BY locate) r ON b.locate = r.locate"""))
+def symbols_by_locate(spark, sf_dir):
+    """Book messages by locate, with the symbol (empty where unknown)."""
+    rows = _every_type(spark, sf_dir)
+    counted = rows.where(lifecycle.is_book()).groupBy("locate").agg(F.count("*").alias("n"))
+    return directory.with_symbols(counted, directory.directory(rows)).select("locate", "symbol", "n")
+
+
+@query("SELECT o_orderkey - 1 - missing AS after, missing FROM (SELECT o_orderkey, o_orderkey - lag(o_orderkey) OVER (ORDER BY o_orderkey) - 1 AS missing FROM orders WHERE o_orderkey % 7 <> 3) WHERE missing > 0")
+def sequence_gaps(spark, sf_dir):
+    """Holes in a sequence of numbers from which every seventh is missing."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 <> 3")
+    return workload.gaps(rows.select(F.col("o_orderkey").alias("idx")))
+
+
+_CLOCK = "lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0')"
+
+
+@query(O.on_events(f"""SELECT idx, {_CLOCK} AS clock, s * 1000000000 AS clock_ns, 'locate=' || locate || '__kind=' || type AS variant, locate::VARCHAR AS field, CASE WHEN idx % 2 = 0 THEN 'permsg' ELSE 'batch' END AS method,
+  (price // 10000) || '.' || lpad((price % 10000)::VARCHAR, 4, '0') AS price FROM (SELECT *, ts_ns // 1000000000 AS s FROM m)"""))
+@_on()
+def text_forms(s):
+    """Clock times, run names and prices as text, and back."""
+    second = F.floor(F.col("ts_ns") / 10**9)
+    parts = [F.lpad(p.cast("string"), 2, "0") for p in (F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)]
+    variant = text.variant_id(locate=F.col("locate"), kind=F.col("type"))
+    file = F.concat(variant, F.when(F.col("idx") % 2 == 0, "_permsg").otherwise(""), F.lit(".hist.csv"))
+    rows = s.messages.select("idx", F.concat_ws(":", *parts).alias("clock"), variant.alias("variant"), text.method_of(file).alias("method"), text.price_text(F.col("price")).alias("price"))
+    return rows.select("idx", "clock", text.clock_ns(F.col("clock")).alias("clock_ns"), "variant", text.variant_fields(F.col("variant"))["locate"].alias("field"), "method", "price")
+
+
+@query(O.on_runs(f"SELECT {O.lowest('b')} AS low, least({O.highest('b')}, top) AS high, n AS count FROM (SELECT {O.bucket('sample')} AS b, count(*) AS n FROM runs GROUP BY 1), (SELECT max(sample) AS top FROM runs)"))
+def histogram_file(spark, sf_dir):
+    """A histogram written as CSV and read again."""
+    path = f"{scratch.folder(spark)}/hist-{uuid.uuid4().hex}/all/run01.hist.csv"
+    sinks.write_histogram(H.histogram(_runs(spark, sf_dir), F.col("sample")), path)
+    return sinks.read_histograms(spark, path).select("low", "high", "count")
+
+
+@query(O.on_runs("SELECT variant, run, count(*) AS n, 'op\"s' AS unit, min(sample) / 2.0::DOUBLE AS least_ns, max(sample) / 2.0::DOUBLE AS most_ns FROM runs GROUP BY variant, run"))
+def run_records(spark, sf_dir):
+    """Metadata of runs written as JSON and read again, joined with the runs' histograms
+    by name, which turns ticks into nanoseconds."""
+    hist = H.histogram(_runs(spark, sf_dir), F.col("sample"), "variant", "run")
+    meta = hist.groupBy("variant", "run").agg(F.sum("n").alias("n")).withColumns({"unit": F.lit('op"s'), "ticks_per_ns": F.lit(2.0)})
+    path = f"{scratch.folder(spark)}/meta-{uuid.uuid4().hex}"
+    sinks.write_metadata(meta, path)
+    met = sinks.with_metadata(hist, sinks.read_metadata(spark, path), "variant", "run")
+    ns = {c: stats.in_ns(F.col(c), F.col("ticks_per_ns")) for c in ("least", "most")}
+    return met.groupBy("variant", "run").agg(F.max("meta_n").alias("n"), F.max("unit").alias("unit"), F.min(ns["least"]).alias("least_ns"), F.max(ns["most"]).alias("most_ns"))
+
+
+@query(O.on_runs("""SELECT variant, count(*) AS threads, sum(cycles)::BIGINT AS cycles, min(running / enabled) AS worst_running FROM (
+  SELECT variant, run, sum(sample) AS cycles, sum(sample)::BIGINT AS running, sum(sample)::BIGINT + run AS enabled FROM runs GROUP BY variant, run) GROUP BY variant"""))
+def thread_counters(spark, sf_dir):
+    """Counters summed over threads, and the worst share of time that one was counted."""
+    one = _runs(spark, sf_dir).groupBy("variant", "run").agg(F.sum("sample").alias("cycles"))
+    one = one.withColumns({"time_running_ns": F.col("cycles"), "time_enabled_ns": F.col("cycles") + F.col("run")})
+    return stats.over_threads(one, "variant", counters=("cycles",))
+
+
+@query(O.on_runs(f"""SELECT mode, variant, count(*) AS n, min(sample) AS least, max(sample) AS most FROM (SELECT *, CASE WHEN run % 3 = 0 THEN 'throughput' ELSE 'latency' END AS mode FROM runs)
+  WHERE mode = 'latency' GROUP BY mode, variant"""))
+def latency_runs(spark, sf_dir):
+    """Runs of one mode of measurement."""
+    rows = _runs(spark, sf_dir).withColumn("mode", F.when(F.pmod("run", F.lit(3)) == 0, "throughput").otherwise("latency"))
+    return stats.of_mode(rows, "latency").groupBy("mode", "variant").agg(F.count("*").alias("n"), F.min("sample").alias("least"), F.max("sample").alias("most"))
+
+
+_NAMED = {
+    **{f"counter_{c}": f"(SELECT {c} FROM counted)" for c in ("adds", "executes", "cancels", "deletes", "replaces", "unknown_ref", "duplicate_ref", "overfill", "locate_mismatch", "bad_locate", "zero_qty")},
+    "messages": "(SELECT count(*) FROM m)", "book_messages": "(SELECT count(*) FROM book)", "live_orders_end": "(SELECT count(*) FROM rem)",
+    "peak_live_orders": "(SELECT max(live) FROM running WHERE type IN ('A', 'U'))", "timestamp_regressions": "(SELECT count(*) FROM (SELECT ts_ns, lag(ts_ns) OVER (ORDER BY idx) AS prev FROM m) WHERE ts_ns < prev)",
+    "order_refs_count": "(SELECT count(*) FROM life)", "order_refs_min": "(SELECT min(ref) FROM life)", "order_refs_max": "(SELECT max(ref) FROM life)",
+    "order_refs_density": "(SELECT count(*) / (max(ref) - min(ref) + 1) FROM life)", "no_best_on_side": "(SELECT count(*) FROM dist WHERE way = 'no_best')",
+    **{f"invariant_{b}_{c}": f"(SELECT count(*) FROM bucketed WHERE bucket = {b}{'' if c == 'checks' else f' AND {c}'})" for b in range(3) for c in ("checks", "crossed", "locked")},
+}
+_SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+
+
+def _spread(name: str, source: str, value: str, keys: str) -> str:
+    """Names and values of the quantiles of a table's groups."""
+    found = f"({O.quantiles(source, value, keys, _SHARES)})"
+    return " UNION ALL ".join(f"SELECT concat('{name}_', {keys}, '_{c}'), {c}::DOUBLE FROM {found}" for c in ("n", *_SHARES, "max"))
+
+
+@query(O.on_events(
+    " UNION ALL ".join(f"SELECT '{k}' AS name, {v}::DOUBLE AS value" for k, v in _NAMED.items())
+    + " UNION ALL " + _spread("lifetime", f"(SELECT end_kind, lifetime {_ELAPSED})", "lifetime", "end_kind")
+    + " UNION ALL " + _spread("distance_add", "(SELECT way, ticks FROM dist WHERE kind = 'add' AND ticks IS NOT NULL)", "ticks", "way"),
+    more=f"counted AS ({_COUNTERS})",
+))
+@_on()
+def summary_record(s):
+    """All scalars of a characterisation, as names and values."""
+    counted = lifecycle.counters(s.messages, s.life, s.effects)
+    parts = [
+        counted.select(*[F.col(c).alias(f"counter_{c}") for c in counted.columns]),
+        directory.book_share(s.messages).select(F.col("n").alias("messages"), F.col("book").alias("book_messages")),
+        s.remaining.agg(F.count("*").alias("live_orders_end")),
+        book.live_running(s.messages, s.life).where(F.col("type").isin("A", "F", "U")).agg(F.max("live").alias("peak_live_orders")),
+        workload.regressions(s.messages).withColumnRenamed("regressions", "timestamp_regressions"),
+        workload.ref_density(s.life).select(F.col("n").alias("order_refs_count"), F.col("low").alias("order_refs_min"), F.col("high").alias("order_refs_max"), F.col("density").alias("order_refs_density")),
+        _distances(s).agg(F.count_if(F.col("way") == "no_best").alias("no_best_on_side")),
+        _crossings(s).agg(*[
+            F.count_if((F.col("bucket") == b) & (F.lit(True) if c == "checks" else F.col(c))).alias(f"invariant_{b}_{c}") for b in range(3) for c in ("checks", "crossed", "locked")
+        ]),
+    ]
+
+    def named(prefix: str, found: DataFrame, key: str) -> DataFrame:
+        values = [F.struct(F.concat(F.lit(f"{prefix}_"), F.col(key), F.lit(f"_{c}")).alias("name"), F.col(c).cast("double").alias("value")) for c in ("n", *_SHARES, "max")]
+        return found.select(F.inline(F.array(*values)))
+
+    scalars = [p.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in p.columns]))) for p in parts]
+    adds = _distances(s).where("kind = 'add' AND ticks IS NOT NULL")
+    scalars += [
+        named("lifetime", H.quantiles(_elapsed(s), _SHARES, "end_kind"), "end_kind"),
+        named("distance_add", H.quantiles(H.histogram(adds, F.col("ticks"), "way"), _SHARES, "way"), "way"),
+    ]
+    out = scalars[0]
+    for part in scalars[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

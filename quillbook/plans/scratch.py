@@ -24,6 +24,8 @@ _paths: dict[str, SparkSession] = {}
 def folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     return (shared or os.path.join(tempfile.gettempdir(), "quillbook-scratch")).rstrip("/") + "/quillbook"
 
 

@@ -42,16 +42,22 @@ class Stream:
         return book.remaining(self.life, self.effects)
 
     @cached_property
-    def segments(self) -> DataFrame:
-        return scratch.table(book.segments(self.life, self.effects, self.end), "segments")
+    def tops(self) -> DataFrame:
+        return scratch.table(book.tops(self.messages, self.life, self.effects, self.scope), "tops")
+
+    def _seen(self, prefix: str) -> DataFrame:
+        points = self.messages.where(lifecycle.is_book()).select("idx", "locate", "type", "ts_ns", "session")
+        return points.join(self.tops.select("idx", *[F.col(prefix + c).alias(c) for c in book.TOP]), "idx")
 
     @cached_property
     def after(self) -> DataFrame:
-        return scratch.table(book.message_tops(self.messages, self.segments), "tops_after")
+        """``idx, locate, type, ts_ns, session`` and the top of the locate after each book message."""
+        return scratch.table(self._seen(""), "tops_after")
 
     @cached_property
     def before(self) -> DataFrame:
-        return scratch.table(book.message_tops(self.messages, self.segments, before=True), "tops_before")
+        """The same ahead of each book message."""
+        return scratch.table(self._seen("before_"), "tops_before")
 
 
 def stream(spark: SparkSession, sf_dir: str, view: str = "events") -> Stream:

@@ -57,9 +57,19 @@ class _File(InputPartition):
     path: str
 
 
+def _local(path: str) -> str:
+    """A path that executors can open; other stores are read by ``split_frames``."""
+    scheme, found, rest = path.partition(":")
+    if not found or "/" in scheme:
+        return path
+    if scheme != "file":
+        raise ValueError(f"{path} is in a store that only Spark reads: give its binaryFile contents to split_frames")
+    return "/" + rest.lstrip("/")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.compression = options["path"], options.get("compression", "auto")
+        self.path, self.compression = _local(options["path"]), options.get("compression", "auto")
 
     def partitions(self) -> list[_File]:
         found = sorted(glob.glob(os.path.join(self.path, "[!_.]*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
@@ -96,7 +106,7 @@ class _Written(WriterCommitMessage):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
-        self.path, self.zipped = options["path"], options.get("compression", "none") == "gzip"
+        self.path, self.zipped = _local(options["path"]), options.get("compression", "none") == "gzip"
 
     def write(self, rows: Iterator) -> _Written:
         from pyspark import TaskContext
@@ -149,6 +159,12 @@ def write_framed(bodies: DataFrame, path: str, compression: str = "none") -> Non
     ).mode("append").save()
 
 
+def read_framed(spark: SparkSession, path: str, compression: str = "auto") -> DataFrame:
+    """``format("framed")`` over ``path``."""
+    register(spark)
+    return spark.read.format("framed").option("path", path).option("compression", compression).load()
+
+
 def split_frames(contents: DataFrame) -> DataFrame:
     """Messages of whole streams in ``path, content`` (as ``binaryFile`` gives them;
     gzip by its magic bytes)."""

@@ -42,6 +42,23 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def write_metadata(runs: DataFrame, path: str) -> None:
+    """A JSON object per run (``variant, run`` and any other columns)."""
+    runs.write.mode("overwrite").json(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def with_metadata(hist: DataFrame, meta: DataFrame, *names: str) -> DataFrame:
+    """``hist`` with its run's metadata by name; a histogram without metadata is left out, as
+    its unit is unknown.  Columns of both are the histogram's, the others' ``meta_...``."""
+    own = [c for c in meta.columns if c not in names]
+    renamed = meta.select(*names, *[F.col(c).alias(f"meta_{c}" if c in hist.columns else c) for c in own])
+    return hist.join(renamed, list(names))
+
+
 def markdown(small: DataFrame, limit: int = 1000) -> str:
     """A small result as a table; more rows than ``limit`` are an error."""
     rows = small.take(limit + 1)

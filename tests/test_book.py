@@ -61,6 +61,23 @@ def test_three_books_agree(spark, mode):
     assert all(clean[c] == 0 for c in ("unknown_ref", "duplicate_ref", "overfill", "locate_mismatch", "bad_locate", "zero_qty"))
 
 
+@pytest.mark.parametrize("mode", ["realistic", "crossing", "replace-chains"])
+def test_stretches(spark, monkeypatch, mode):
+    """Tops and states do not depend on where the stream is cut."""
+    monkeypatch.setattr(book, "CELL", 64)
+    monkeypatch.setattr(book, "STRETCH", 100)
+    s = made(spark, mode, 1500)
+    assert book.stretches(s.messages, ["locate"]).agg(F.max("stretch")).first()[0] > 2
+    want = naive(s.messages.orderBy("idx").collect())
+    assert [tuple(r) for r in s.after.orderBy("idx").select("idx", *diff.TOP).collect()] == want
+    whole = s.messages.select("idx", "locate", F.when(F.col("idx") % 7 == 0, F.col("idx").cast("string")).alias("state"))
+    last, states = {}, {}
+    for r in whole.orderBy("idx").collect():
+        last[r.locate] = r.state or last.get(r.locate)
+        states[r.idx] = last[r.locate]
+    assert {r.idx: r.state for r in book.carried(whole, "locate", "idx", "state", cell=50).collect()} == states
+
+
 def test_conservation(spark):
     s = made(spark, "replace-chains", 4000)
     n = lifecycle.counters(s.messages, s.life, s.effects).first()

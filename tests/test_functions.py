@@ -44,15 +44,34 @@ def test_histogram_files(spark, tmp_path):
         sinks.markdown(spark.range(5), 3)
 
 
+def resampled(runs, rng):
+    """Medians of plain resamples."""
+    return np.median(rng.choice(runs, (stats.RESAMPLES, len(runs)), replace=True), axis=1)
+
+
 def test_intervals(spark):
-    rows = [("a", r, 10.0 + r) for r in range(10)] + [("b", r, 100.0 + r) for r in range(10)] + [("c", 0, 1.0)]
+    rows = [("a", r, 10.0 + r) for r in range(10)] + [("b", r, 100.0 + r * r) for r in range(9)] + [("c", 0, 1.0), ("c", 1, None)]
     df = spark.createDataFrame(rows, "variant string, run int, p50 double")
-    found = {r.variant: r for r in stats.intervals(df, "variant", "p50").collect()}
+    found = {r.variant: r for r in stats.intervals(df, "variant").collect()}
+    rng = np.random.default_rng(stats.SEED)  # one generator, groups in order
+    for name in "ab":
+        runs = np.array([p for v, _, p in rows if v == name])
+        assert np.allclose((found[name].p50_low, found[name].p50_high), np.quantile(resampled(runs, rng), [0.025, 0.975]))
+        assert found[name].p50 == np.median(runs) and found[name].runs == len(runs)
+    assert found["c"].p50 == 1 and np.isnan(found["c"].p50_low if found["c"].p50_low is not None else np.nan)
+    (b,) = stats.against(df.where("variant <> 'c'"), "variant", "p50", "a").collect()
     rng = np.random.default_rng(stats.SEED)
-    assert (found["a"].low, found["a"].high) == stats.median_interval(np.array([10.0 + r for r in range(10)]), rng)
-    assert found["a"].low <= found["a"].median <= found["a"].high and found["c"].low is None
-    (b,) = [r for r in stats.against(df.where("variant <> 'c'"), "variant", "p50", "a").collect()]
-    assert b.significant and 6 < b.ratio < 8 and b.diff == 90
+    one, two = (np.array([p for v, _, p in rows if v == name]) for name in "ba")
+    ratio = resampled(one, rng) / resampled(two, rng)
+    assert np.allclose((b.ratio_low, b.ratio_high), np.quantile(ratio, [0.025, 0.975])) and b.ratio == np.median(one) / np.median(two)
+    diff = resampled(one, rng) - resampled(two, rng)
+    assert np.allclose((b.diff_low, b.diff_high), np.quantile(diff, [0.025, 0.975])) and b.significant
+
+
+def test_too_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MOST_RUNS", 1)
+    with pytest.raises(ValueError):
+        stats.intervals(spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0)], "variant string, run int, p50 double"), "variant")
 
 
 def test_gates_and_counters(spark):

@@ -20,7 +20,7 @@ def plan(df):
 
 def test_native_and_without_products(s):
     frames = [
-        lifecycle.effects(s.messages, s.life), book.segments(s.life, s.effects, s.end), book.message_tops(s.messages, s.segments),
+        lifecycle.effects(s.messages, s.life), book.level_changes(s.life, s.effects, ['locate']), workload.trading_state(s.messages),
         book.depth(s.remaining), book.live_running(s.messages, s.life), workload.distances(s.messages, s.effects, s.before),
         workload.symbol_activity(s.messages, s.life), workload.regressions(s.messages), workload.depth_snapshots(s.messages, s.life),
     ]

@@ -21,32 +21,59 @@ _BYTE = _random.integers(0, 2**32, 256, dtype=np.uint32)
 _PLACE = _random.integers(0, 2**31, 64, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def byte_ngrams(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Buckets of ``bits`` bits for every run of ``n`` bytes (2 to 5)."""
-    if len(raw) < n:
-        return np.zeros(0, np.int64)
-    code = np.full(len(raw) - n + 1, n, np.uint32)
-    for k in range(n):
-        code = code * np.uint32(257) + raw[k : len(raw) - n + 1 + k]
+#: Items of a text that are turned at a time, so that a very long text takes a few times
+#: its own size, whatever is computed from it.
+CHUNK = 1 << 20
+
+
+def _spread(code: np.ndarray, bits: int) -> np.ndarray:
     code = (code ^ (code >> np.uint32(15))) * _SPREAD
     return (code >> np.uint32(32 - bits)).astype(np.int64)
 
 
-def word_buckets(raw: np.ndarray, bits: int) -> np.ndarray:
-    """Buckets of ``bits`` bits for every word (bytes between white space) and for
-    every two neighbours; all pairs of a word and itself share one bucket."""
+def ngrams(codes: np.ndarray, n: int, bits: int, factor: int = 257) -> Iterator[np.ndarray]:
+    """Buckets of ``bits`` bits for every run of ``n`` codes (bytes or code points), by chunk."""
+    for begin in range(0, len(codes) - n + 1, CHUNK):
+        size = min(CHUNK, len(codes) - n + 1 - begin)
+        code = np.full(size, n, np.uint32)
+        for k in range(n):
+            code = code * np.uint32(factor) + codes[begin + k : begin + k + size]
+        yield _spread(code, bits)
+
+
+def word_chunks(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """The bytes in parts of about ``CHUNK`` that end between words."""
+    begin = 0
+    while begin < len(raw):
+        end = begin + CHUNK
+        while end < len(raw) and not _SPACE[raw[end]].any():
+            ahead = np.flatnonzero(_SPACE[raw[end : end + CHUNK]])
+            end = end + int(ahead[0]) if len(ahead) else end + CHUNK
+        yield raw[begin : min(end, len(raw))]
+        begin = end
+
+
+def _words(raw: np.ndarray) -> np.ndarray:
     inside = ~_SPACE[raw]
     edges = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(starts):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     place = np.arange(len(raw)) - np.repeat(np.concatenate((starts[:1] * 0, starts)), np.diff(np.concatenate(([0], starts, [len(raw)]))))
     part = np.where(inside, _BYTE[raw] * _PLACE[place & 63], 0).astype(np.uint32)
-    word = np.add.reduceat(part, starts, dtype=np.uint32) + (ends - starts).astype(np.uint32)
-    pair = np.where(word[1:] == word[:-1], np.uint32(1), word[1:] * np.uint32(0x85EBCA6B) + word[:-1])
-    code = np.concatenate((word, pair))
-    code = (code ^ (code >> np.uint32(15))) * _SPREAD
-    return (code >> np.uint32(32 - bits)).astype(np.int64)
+    return np.add.reduceat(part, starts, dtype=np.uint32) + (ends - starts).astype(np.uint32)
+
+
+def word_buckets(raw: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Buckets of ``bits`` bits for every word (bytes between white space) and for
+    every two neighbours, by chunk; all pairs of a word and itself share one bucket."""
+    before = np.zeros(0, np.uint32)
+    for part in word_chunks(raw):
+        word = _words(part)
+        line = np.concatenate((before, word))
+        pair = np.where(line[1:] == line[:-1], np.uint32(1), line[1:] * np.uint32(0x85EBCA6B) + line[:-1])
+        before = line[-1:]
+        yield _spread(np.concatenate((word, pair)), bits)
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -67,7 +94,18 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, id_col: str = "d
     return ranked.where(F.col("rank") <= per_label).select(id_col, label)
 
 
-Featurise = Callable[[str], np.ndarray]
+#: The buckets of a text, in parts.
+Featurise = Callable[[str], Iterator[np.ndarray]]
+
+
+def counted(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and how often each occurs."""
+    index, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in parts:
+        own, n = np.unique(part, return_counts=True)
+        index, place = np.unique(np.concatenate((index, own)), return_inverse=True)
+        count = np.bincount(place, np.concatenate((count, n)), len(index)).astype(np.int64)
+    return index, count
 
 
 def training_rows(texts: DataFrame, label: str, featurise: Featurise) -> list[tuple[object, np.ndarray, np.ndarray]]:
@@ -79,7 +117,7 @@ def training_rows(texts: DataFrame, label: str, featurise: Featurise) -> list[tu
         for batch in batches:
             out = []
             for text in batch["text"]:
-                index, count = np.unique(featurise(text), return_counts=True)
+                index, count = counted(featurise(text))
                 share = (count / max(1, count.sum())).astype("<f4")
                 out.append((index.astype("<i4").tobytes(), share.tobytes()))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "i": [x[0] for x in out], "s": [x[1] for x in out]})

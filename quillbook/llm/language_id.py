@@ -36,11 +36,13 @@ _FAMILY = {lang: name for name, langs in FAMILIES.items() for lang in langs}
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def featurise(text: str) -> np.ndarray:
-    """Buckets of all byte bigrams and trigrams of the lower-cased letters."""
+def featurise(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all byte bigrams and trigrams of the lower-cased letters, in parts."""
     raw = np.frombuffer(b" " + (text or "").lower().encode("utf-8", "replace").translate(_LETTERS) + b" ", np.uint8)
-    raw = raw[~((raw == 32) & (np.concatenate(([0], raw[:-1])) == 32))]  # runs of spaces count once
-    return np.concatenate((features.byte_ngrams(raw, 2, _BITS), features.byte_ngrams(raw, 3, _BITS) + (1 << _BITS)))
+    raw = raw[~((raw == 32) & (np.concatenate((raw[:1] * 0, raw[:-1])) == 32))]  # runs of spaces count once
+    yield from features.ngrams(raw, 2, _BITS)
+    for part in features.ngrams(raw, 3, _BITS):
+        yield part + (1 << _BITS)
 
 
 def _svm(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int) -> tuple[np.ndarray, float]:
@@ -79,8 +81,11 @@ class LanguageModel:
     _at: dict = field(default_factory=dict)
 
     def margins(self, text: str) -> np.ndarray:
-        index = featurise(text)
-        return self.table[index].mean(axis=0) + self.bias if len(index) else self.bias
+        total, n = np.zeros(self.table.shape[1], np.float64), 0
+        for index in featurise(text):
+            total += self.table[index].sum(axis=0, dtype=np.float64)
+            n += len(index)
+        return (total / max(n, 1)).astype(np.float32) + self.bias
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language and a score in 0 to 1: the share of the family among the

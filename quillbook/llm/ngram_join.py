@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
+from .features import word_chunks
 from .memory import tidy
 
 #: Tokens of a packed chunk of documents, and of a hash range: this many at least,
@@ -68,11 +69,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct hashes of all runs of ``words`` words of the text, with
-    A-Z lower-cased; with fewer words, of the whole sequence; without words, none."""
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash for every word of the bytes."""
     global _powers
-    raw = np.frombuffer((text or "").encode("utf-8", "replace").translate(_LOWER), np.uint8)
     inside = ~_SPACE[raw]
     edges = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     starts = np.flatnonzero(edges == 1)
@@ -85,7 +84,18 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     if (most := int(place.max()) + 1) > len(_powers):
         _powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * most, _STEP, np.uint64))))
     part = np.where(inside, _BYTE[raw] * _powers[np.maximum(place, 0)], np.uint64(0))
-    word = _mix(np.add.reduceat(part, starts))
+    return _mix(np.add.reduceat(part, starts))
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct hashes of all runs of ``words`` words of the text, with
+    A-Z lower-cased; with fewer words, of the whole sequence; without words, none.
+    A long text is hashed in parts that end between words."""
+    raw = np.frombuffer((text or "").encode("utf-8", "replace").translate(_LOWER), np.uint8)
+    parts = [_word_hashes(part) for part in word_chunks(raw)]
+    word = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(word):
+        return word
     if len(word) < words:
         weights = np.resize(_PLACE, len(word))
         return _mix(np.array([np.sum(word * weights) + np.uint64(len(word))], np.uint64))

@@ -1,9 +1,9 @@
 """Quality scores by supervised subword embeddings.
 
 A document is the average of learned vectors of its hashed words, pairs of
-neighbouring words and byte n-grams; a softmax layer over the average gives the score.  Vectors and layer are
-trained by numpy stochastic gradient descent on a bounded sample (``PER_LABEL``
-documents a label).  To score, vectors and layer are multiplied into one number
+neighbouring words and character n-grams; a softmax layer over the average gives the
+score.  Vectors and layer are trained by numpy stochastic gradient descent on a bounded
+sample (``PER_LABEL`` documents a label).  To score, vectors and layer are multiplied into one number
 per bucket, so a document costs one lookup per n-gram.
 """
 
@@ -29,12 +29,15 @@ _BUCKETS = (1 << _WORD_BITS) + len(_GRAMS) * (1 << _GRAM_BITS)
 _SIZE, _EPOCHS, _RATE = 12, 8, 1.0
 
 
-def featurise(text: str) -> np.ndarray:
-    """Buckets of all words and word pairs and of all byte trigrams and 4-grams."""
-    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    parts = [features.word_buckets(raw, _WORD_BITS)]
-    parts += [features.byte_ngrams(raw, n, _GRAM_BITS) + (1 << _WORD_BITS) + (k << _GRAM_BITS) for k, n in enumerate(_GRAMS)]
-    return np.concatenate(parts)
+def featurise(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all words and word pairs and of all character trigrams and 4-grams, in parts."""
+    text = text or ""
+    yield from features.word_buckets(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), _WORD_BITS)
+    # code points; of ASCII texts bytes are the same
+    codes = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    for k, n in enumerate(_GRAMS):
+        for part in features.ngrams(codes, n, _GRAM_BITS, 0x01000193):
+            yield part + (1 << _WORD_BITS) + (k << _GRAM_BITS)
 
 
 @dataclass
@@ -45,8 +48,11 @@ class QualityModel:
     bias: float
 
     def score(self, text: str) -> float:
-        index = featurise(text)
-        z = (float(self.logit[index].mean(dtype=np.float64)) if len(index) else 0.0) + self.bias
+        total, n = 0.0, 0
+        for index in featurise(text):
+            total += float(self.logit[index].sum(dtype=np.float64))
+            n += len(index)
+        z = total / max(n, 1) + self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -79,9 +85,11 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 11) -> Quali
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, folds: int = 5, held_out: int = 0) -> QualityModel:
-    """Learn ``labels.quality`` from documents whose fold is not ``held_out``."""
+    """Learn ``labels.quality`` from documents whose fold is not ``held_out``.  Of an id
+    that is labelled more than once the commoner label counts, and 0 of a tie."""
     known = labels.where(F.col("quality").isin(0, 1) & (features.fold("doc_id", folds) != held_out)).select("doc_id", "quality")
-    chosen = features.bounded_sample(known.dropDuplicates(["doc_id"]), "quality", per_label)
+    known = known.groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("quality"))
+    chosen = features.bounded_sample(known, "quality", per_label)
     chosen = chosen.select("doc_id", F.col("quality").alias("label"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return fit(features.training_rows(texts, "label", featurise))

@@ -210,6 +210,47 @@ def test_language(documents, nasty):
     assert features.bounded_sample(documents, "lang", 3).groupBy("lang").count().where("count > 3").count() == 0
 
 
+def test_chunks_change_nothing(monkeypatch):
+    from quillbook.llm import features, ngram_join
+
+    texts = ["", " ", "one", "é漢😀 mot " * 70, "a b  c\n\td " * 90, "x" * 500 + " y " + "z" * 300, " lead and trail " * 9]
+    whole = [[features.counted(f(t)) for t in texts] for f in (language_id.featurise, quality_classifier.featurise)]
+    sets = [ngram_join.shingle_set(t, 4) for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(features, "CHUNK", size)
+        for f, want in zip((language_id.featurise, quality_classifier.featurise), whole):
+            for t, (index, count) in zip(texts, want):
+                got = features.counted(f(t))
+                assert (got[0] == index).all() and (got[1] == count).all()
+        assert all((ngram_join.shingle_set(t, 4) == s).all() for t, s in zip(texts, sets))
+
+
+@pytest.mark.parametrize("operator", ["language", "quality", "shingles"])
+def test_memory_of_a_long_text(operator):
+    """A text of 50 MB takes at most 16 times its size beside itself."""
+    import tracemalloc
+
+    from quillbook.llm import ngram_join
+
+    text = "some words of a text that goes on and on 123 " * (50_000_000 // 45)
+    run = {
+        "language": lambda: sum(map(len, language_id.featurise(text))), "quality": lambda: sum(map(len, quality_classifier.featurise(text))),
+        "shingles": lambda: len(ngram_join.shingle_set(text, 4)),
+    }[operator]
+    tracemalloc.start()
+    assert run() > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(text)
+
+
+def test_labels_that_disagree(spark, documents):
+    labels = spark.createDataFrame([(i, q) for i in range(60) for q in (0, 1, 1 if i % 2 else 0)], "doc_id long, quality int")
+    one = quality_classifier.train(documents, labels)
+    two = quality_classifier.train(documents, labels.repartition(7).orderBy(F.desc("quality")))
+    assert (one.logit == two.logit).all() and one.bias == two.bias
+
+
 def test_one_language(documents):
     only = language_id.train(documents.where("lang = 'fr'"))
     assert only.families == ["romance"] and only.pairs == [] and only.predict("le la") == ("fr", 1.0)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans import scratch
+
 COLUMNS = ["idx", "session", "ts_ns", "type", "locate", "ref", "new_ref", "side", "shares", "price", "state"]
 _DAY_US = 86_400_000_000
 #: Prices have four implied decimals; the touch view lies around this one.
@@ -107,7 +109,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     within = Window.partitionBy("session").orderBy("ts", "rank", "ref", "line", "part", "supp")
     idx = F.coalesce("base", F.lit(0)) + F.row_number().over(within) - 1
-    both = both.join(F.broadcast(before.select("session", "base")), "session").withColumn("idx", idx)
+    both = both.join(scratch.small_side(before.select("session", "base")), "session").withColumn("idx", idx)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return both.select(
         "idx", "session", (F.pmod(micros, F.lit(_DAY_US)) * 1000).alias("ts_ns"), "type", "locate", "ref", F.lit(None).cast("long").alias("new_ref"),

@@ -29,6 +29,18 @@ def folder(spark: SparkSession) -> str:
     return (shared or os.path.join(tempfile.gettempdir(), "quillbook-scratch")).rstrip("/") + "/quillbook"
 
 
+def stamp(spark: SparkSession, *paths: str) -> tuple:
+    """Size and time of change of the files at ``paths``, in whatever store they are."""
+    out = []
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+        for one in found or ():
+            inside = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(one.getPath())
+            out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in inside)
+    return tuple(out)
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of it."""
     spark = df.sparkSession

@@ -62,8 +62,9 @@ class Stream:
 
 def stream(spark: SparkSession, sf_dir: str, view: str = "events") -> Stream:
     """The stream of a folder: ``events``, ``touch``, ``orders`` or ``daily``."""
-    key = (spark.sparkContext.applicationId, sf_dir, view)
-    if key not in _built:
+    files = ("orders", "lineitem") if view == "orders" else ("events",)
+    key = (spark.sparkContext.applicationId, sf_dir, view, scratch.stamp(spark, *(f"{sf_dir}/{f}.parquet" for f in files)))
+    if key not in _built:  # built anew where the files have changed
         make = {"events": views.events, "touch": lambda s, d: views.events(s, d, touch=True), "orders": views.orders, "daily": views.daily}[view]
         _built[key] = Stream(make(spark, sf_dir), ("session",) if view == "daily" else ())
     return _built[key]

@@ -23,6 +23,7 @@ MIX = {
     "deep-queue": (50, 4, 0, 4, 40, 2, 0),
     "replace-chains": (20, 2, 0, 2, 6, 70, 0),
 }
+ELSEWHERE = "~"  # marks a fault that is sent at another locate
 START_NS = 4 * 3600 * 10**9
 SCHEMA = (
     "idx long, session date, ts_ns long, type string, locate int, ref long, new_ref long, side string, shares long, price long, state string"
@@ -85,6 +86,13 @@ class _Symbol:
             return "E", some, None, None, over, None
         if kind == "a" and some is not None:
             return "A", some, None, "B", 100, self.middle
+        if kind == "d" and some is not None:  # at the wrong locate: the order's own book moves
+            order = self.live[some]
+            cut = min(order[1], 1)
+            order[1] -= cut
+            if order[1] == 0:
+                del self.live[some]
+            return ELSEWHERE + "X", some, None, None, cut, None
         if kind == "z":
             return "z", None, None, None, None, None
         return "A", self.ref(), None, "B", 0, self.middle
@@ -122,12 +130,12 @@ class _Symbol:
 def stream(spark: SparkSession, fixture: Fixture = Fixture()) -> DataFrame:
     """The messages of a fixture, with a directory and a trading message per symbol.
     Symbol k gets a share in proportion to 1 / (k + 1); ``many-symbols`` has twenty
-    times the symbols, and ``mixed`` runs the other modes one after another."""
+    times the symbols with equal shares, and ``mixed`` runs the other modes one after another."""
     modes = MODES[:-1] if fixture.mode == "mixed" else (fixture.mode,)
     plan = []
     for part, mode in enumerate(modes):
         symbols = fixture.symbols * (20 if mode == "many-symbols" else 1)
-        weights = [1 / (k + 1) for k in range(symbols)]
+        weights = [1 if mode == "many-symbols" else 1 / (k + 1) for k in range(symbols)]
         for k in range(symbols):
             n = max(1, round(fixture.messages / len(modes) * weights[k] / sum(weights)))
             plan.append((part, mode, part * 4096 + k + 1, n))
@@ -142,7 +150,8 @@ def stream(spark: SparkSession, fixture: Fixture = Fixture()) -> DataFrame:
                 out = [(r.part, -2, START_NS, "R", r.locate, *[None] * 6), (r.part, -1, START_NS, "H", r.locate, *[None] * 5, "T")]
                 for k in range(r.n):
                     ts, kind, *rest = symbol.step()
-                    out.append((r.part, k, ts, kind, r.locate, *rest, None))
+                    locate = r.locate % 65_535 + 1 if kind.startswith(ELSEWHERE) else r.locate
+                    out.append((r.part, k, ts, kind.removeprefix(ELSEWHERE), locate, *rest, None))
                 frame = pd.DataFrame(out, columns=names)
                 yield frame.astype({c: "Int64" for c in ("ref", "new_ref", "shares", "price")})
 

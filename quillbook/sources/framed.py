@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import codec
+from ..plans import scratch
 
 SCHEMA = "file string, idx long, len int, body binary"
 _ARROW = pa.schema([("file", pa.string()), ("idx", pa.int64()), ("len", pa.int32()), ("body", pa.binary())])
@@ -187,7 +188,7 @@ def in_order(messages: DataFrame) -> DataFrame:
     sizes = messages.groupBy("file").agg(F.count("*").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     bases = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return messages.join(F.broadcast(bases), "file").withColumn("idx", F.col("idx") + F.col("base")).drop("base")
+    return messages.join(scratch.small_side(bases), "file").withColumn("idx", F.col("idx") + F.col("base")).drop("base")
 
 
 def decode(messages: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def test_conservation(spark):
 def test_errors_are_counted(spark):
     s = made(spark, "error-paths", 6000)
     n = fold.counters(fold.replay(s.messages, by=())).first()
-    assert min(n.unknown_ref, n.duplicate_ref, n.overfill, n.zero_qty) > 0
+    assert min(n.unknown_ref, n.duplicate_ref, n.overfill, n.zero_qty, n.locate_mismatch) > 0
 
 
 def test_fixtures(spark):

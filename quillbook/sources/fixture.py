@@ -11,9 +11,9 @@ import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MODES = ("realistic", "deep-queue", "wide-prices", "replace-chains", "crossing", "many-symbols", "error-paths", "mixed")
 KINDS = ("A", "E", "C", "X", "D", "U", "P")
@@ -127,37 +127,76 @@ class _Symbol:
         return self.ts, kind, ref, None, None, cut, None
 
 
-def stream(spark: SparkSession, fixture: Fixture = Fixture()) -> DataFrame:
-    """The messages of a fixture, with a directory and a trading message per symbol.
-    Symbol k gets a share in proportion to 1 / (k + 1); ``many-symbols`` has twenty
-    times the symbols with equal shares, and ``mixed`` runs the other modes one after another."""
-    modes = MODES[:-1] if fixture.mode == "mixed" else (fixture.mode,)
-    plan = []
+RAW = "part int, step int, ts_ns long, type string, locate int, ref long, new_ref long, side string, shares long, price long, state string"
+#: Tasks among which symbols are dealt.
+TASKS = 64
+
+
+def _symbols(fixture: Fixture) -> list[tuple[int, str, int, int]]:
+    """``part, mode, locate, messages`` of every symbol."""
+    modes, plan = MODES[:-1] if fixture.mode == "mixed" else (fixture.mode,), []
     for part, mode in enumerate(modes):
         symbols = fixture.symbols * (20 if mode == "many-symbols" else 1)
         weights = [1 if mode == "many-symbols" else 1 / (k + 1) for k in range(symbols)]
         for k in range(symbols):
-            n = max(1, round(fixture.messages / len(modes) * weights[k] / sum(weights)))
-            plan.append((part, mode, part * 4096 + k + 1, n))
-    rows = spark.createDataFrame(plan, "part int, mode string, locate int, n int").repartition("locate")
-    seed = fixture.seed
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["part", "step", "ts_ns", "type", "locate", "ref", "new_ref", "side", "shares", "price", "state"]
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                symbol = _Symbol(r.mode, seed, r.locate)
-                out = [(r.part, -2, START_NS, "R", r.locate, *[None] * 6), (r.part, -1, START_NS, "H", r.locate, *[None] * 5, "T")]
-                for k in range(r.n):
-                    ts, kind, *rest = symbol.step()
-                    locate = r.locate % 65_535 + 1 if kind.startswith(ELSEWHERE) else r.locate
-                    out.append((r.part, k, ts, kind.removeprefix(ELSEWHERE), locate, *rest, None))
-                frame = pd.DataFrame(out, columns=names)
-                yield frame.astype({c: "Int64" for c in ("ref", "new_ref", "shares", "price")})
-
-    made = rows.mapInPandas(
-        run, "part int, step int, ts_ns long, type string, locate int, ref long, new_ref long, side string, shares long, price long, state string"
-    )
+            plan.append((part, mode, part * 4096 + k + 1, max(1, round(fixture.messages / len(modes) * weights[k] / sum(weights)))))
+    return plan
+
+
+def _generated(part: int, mode: str, locate: int, n: int, seed: int) -> Iterator[tuple]:
+    """The rows of one symbol: a directory and a trading message, then its stream."""
+    symbol = _Symbol(mode, seed, locate)
+    yield part, -2, START_NS, "R", locate, *[None] * 6
+    yield part, -1, START_NS, "H", locate, *[None] * 5, "T"
+    for k in range(n):
+        ts, kind, *rest = symbol.step()
+        yield part, k, ts, kind.removeprefix(ELSEWHERE), locate % 65_535 + 1 if kind.startswith(ELSEWHERE) else locate, *rest, None
+
+
+@dataclass
+class _Share(InputPartition):
+    symbols: list
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        given = {k: int(options[k]) for k in ("seed", "messages", "symbols") if k in options}
+        self.fixture = Fixture(options.get("mode", "realistic"), **given)
+        if self.fixture.mode not in MODES:
+            raise ValueError(f"mode is one of {', '.join(MODES)}, not {self.fixture.mode}")
+
+    def partitions(self) -> list[_Share]:
+        plan = sorted(_symbols(self.fixture), key=lambda s: -s[3])  # the longest are dealt first
+        return [_Share(plan[k::TASKS]) for k in range(min(TASKS, len(plan)))]
+
+    def read(self, partition: _Share) -> Iterator[tuple]:
+        for symbol in partition.symbols:
+            yield from _generated(*symbol, self.fixture.seed)
+
+
+class SyntheticSource(DataSource):
+    """``format("synthetic")``: options ``mode``, ``seed``, ``messages`` and ``symbols``; rows
+    in the order of each symbol (``step``) only, which ``stream`` interleaves."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "synthetic"
+
+    def schema(self) -> str:
+        return RAW
+
+    def reader(self, schema) -> _Reader:
+        return _Reader(self.options)
+
+
+def stream(spark: SparkSession, fixture: Fixture = Fixture()) -> DataFrame:
+    """The messages of a fixture, with a directory and a trading message per symbol.
+    Symbol k gets a share in proportion to 1 / (k + 1); ``many-symbols`` has twenty
+    times the symbols with equal shares, and ``mixed`` runs the other modes one after
+    another."""
+    spark.dataSource.register(SyntheticSource)
+    options = {"mode": fixture.mode, "seed": fixture.seed, "messages": fixture.messages, "symbols": fixture.symbols}
+    made = spark.read.format("synthetic").options(**options).load()
     # a total order: parts, then time, then symbol
     dealt = made.withColumn("second", F.floor(F.col("ts_ns") / 10**6))
     sizes = dealt.groupBy("part", "second").agg(F.count("*").alias("n"))

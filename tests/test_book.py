@@ -100,6 +100,10 @@ def test_fixtures(spark):
     assert one == two and [r.idx for r in one] == list(range(len(one)))
     assert stream(spark, Fixture("realistic", 4, 500, 4)).orderBy("idx").collect() != one
     assert all(a.ts_ns <= b.ts_ns for a, b in zip(one, one[1:]))
+    raw = spark.read.format("synthetic").options(mode="many-symbols", seed=1, messages=200, symbols=2).load()
+    assert raw.select("locate").distinct().count() == 40 and raw.groupBy("locate").count().select("count").distinct().count() == 1
+    with pytest.raises(Exception, match="mode is one of"):
+        spark.read.format("synthetic").option("mode", "none").load().count()
     crossing = made(spark, "crossing", 3000)
     assert crossing.after.where("bid_qty > 0 AND ask_qty > 0 AND bid_px > ask_px").count() > 0
 

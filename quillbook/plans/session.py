@@ -25,10 +25,6 @@ class Stream:
     def messages(self) -> DataFrame:
         return scratch.table(self._messages, "messages")
 
-    @cached_property
-    def end(self) -> int:
-        return (self.messages.agg(F.max("idx")).first()[0] or 0) + 1
-
     @cached_property
     def life(self) -> DataFrame:
         return scratch.table(lifecycle.order_life(self.messages, self.scope), "life")

@@ -27,6 +27,13 @@ def test_mean_of_a_sum_beyond_64_bits(spark):
     assert (found.n, found.mean, found.max) == (4, float(2**62), 2**62 + 3)
 
 
+def test_rank_sum_of_many_samples(spark):
+    n = 2_100_000  # n * n * 2n exceeds 64 bits
+    rows = spark.range(2 * n).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), F.floor(F.col("id") / 2 % 7).alias("sample"))
+    found = stats.mann_whitney(rows, "g", "a", "b").first()
+    assert (found.u, found.z) == (n * n / 2, 0.0)
+
+
 @pytest.fixture(scope="module")
 def s(spark):
     return Stream(stream(spark, Fixture("error-paths", 1, 600, 4)))

@@ -25,7 +25,7 @@ OUTCOMES = (
 class Book:
     """Books of any number of locates; ``apply`` returns the outcome of a message."""
 
-    def __init__(self, locates: int = LOCATES):
+    def __init__(self, locates: int | None = LOCATES):
         self.locates = locates
         self.orders: dict[int, list] = {}  # ref -> locate, side, price, qty
         self.levels: dict[tuple, list[int]] = {}  # locate, side, price -> qty, orders
@@ -66,7 +66,7 @@ class Book:
     def apply(self, kind: str, locate: int, ref: int, new_ref: int, side: str, qty: int, price: int) -> tuple[str, bool]:
         """The outcome, and whether the locate differs from the order's own."""
         if kind in "AF":
-            if not 0 <= locate < self.locates:
+            if self.locates is not None and not 0 <= locate < self.locates:
                 return "bad_locate", False
             return self._add(ref, locate, side, price, qty), False
         order = self.orders.get(ref)
@@ -103,16 +103,16 @@ _RESULT = (
 )
 
 
-def _replay(by: Sequence[str]):
+def _replay(by: Sequence[str], locates: int | None):
     names = [x.split()[0] for x in _RESULT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book, current = Book(), None
+        book, current = Book(locates), None
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 if (own := tuple(getattr(r, c) for c in by)) != current:
-                    book, current = Book(), own
+                    book, current = Book(locates), own
                 outcome, moved = book.apply(r.type, r.locate, r.ref, r.new_ref, r.side, r.shares, r.price)
                 out.append((r.idx, r.locate, r.type, outcome, moved, *book.top(r.locate), len(book.orders)))
             yield pd.DataFrame(out, columns=names)
@@ -120,7 +120,7 @@ def _replay(by: Sequence[str]):
     return run
 
 
-def replay(messages: DataFrame, by: Sequence[str] = ("locate",)) -> DataFrame:
+def replay(messages: DataFrame, by: Sequence[str] = ("locate",), locates: int | None = LOCATES) -> DataFrame:
     """A row per book message: its outcome, whether its locate is not the order's, the
     top of its locate after it, and the live orders (of its book).  ``by`` names the
     columns within which references count and books are apart: ``("session",)`` for days
@@ -132,7 +132,7 @@ def replay(messages: DataFrame, by: Sequence[str] = ("locate",)) -> DataFrame:
         *[F.coalesce(c, none).alias(c) for c in ("shares", "price")],
     )
     dealt = rows.repartition(*by).sortWithinPartitions(*by, "idx") if by else rows.coalesce(1).sortWithinPartitions("idx")
-    return dealt.mapInPandas(_replay(tuple(by)), _RESULT)
+    return dealt.mapInPandas(_replay(tuple(by), locates), _RESULT)
 
 
 def counters(replayed: DataFrame) -> DataFrame:

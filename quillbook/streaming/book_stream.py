@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.decide import BUY, SELL, Strategy
 from ..operators.fold import Book
-from ..operators.lifecycle import is_book
+from ..operators.lifecycle import LOCATES, is_book
 from ..plans import scratch
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -33,15 +33,15 @@ def configure(spark: SparkSession) -> None:
 
 
 class BookProcessor(StatefulProcessor):
-    def __init__(self, strategy: Strategy = Strategy()):
-        self.strategy = strategy
+    def __init__(self, strategy: Strategy = Strategy(), locates: int | None = LOCATES):
+        self.strategy, self.locates = strategy, locates
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.orders = handle.getMapState("orders", "ref long", "side string, price long, qty long")
         self.account = handle.getValueState("account", "position int, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        locate, book, before = int(key[0]), Book(), set()
+        locate, book, before = int(key[0]), Book(self.locates), set()
         for (ref,), (side, price, qty) in self.orders.iterator():
             book._grow(int(ref), locate, side, int(price), int(qty))
             before.add(int(ref))
@@ -79,7 +79,7 @@ class BookProcessor(StatefulProcessor):
         pass
 
 
-def book_stream(messages: DataFrame, strategy: Strategy = Strategy()) -> DataFrame:
+def book_stream(messages: DataFrame, strategy: Strategy = Strategy(), locates: int | None = LOCATES) -> DataFrame:
     """A streaming (or batch) table of messages to a row per book message."""
     configure(messages.sparkSession)
     none = F.lit(0).cast("long")
@@ -87,7 +87,7 @@ def book_stream(messages: DataFrame, strategy: Strategy = Strategy()) -> DataFra
         "idx", "locate", "type", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("ref", "new_ref")], F.coalesce("side", F.lit("S")).alias("side"),
         *[F.coalesce(c, none).alias(c) for c in ("shares", "price")],
     )
-    return rows.groupBy("locate").transformWithStateInPandas(BookProcessor(strategy), RESULT, "Append", "None")
+    return rows.groupBy("locate").transformWithStateInPandas(BookProcessor(strategy, locates), RESULT, "Append", "None")
 
 
 def rate_stream(messages: DataFrame, width: str = "1 second", late: str = "0 seconds") -> DataFrame:
@@ -99,7 +99,7 @@ def rate_stream(messages: DataFrame, width: str = "1 second", late: str = "0 sec
     return timed.groupBy(F.window("at", width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
-def replayed(messages: DataFrame, triggers: int = 2, strategy: Strategy = Strategy()) -> DataFrame:
+def replayed(messages: DataFrame, triggers: int = 2, strategy: Strategy = Strategy(), locates: int | None = LOCATES) -> DataFrame:
     """The result of streaming a finished table through ``book_stream``: it is cut into
     ``triggers`` stretches of the order, and each is a micro-batch that starts from the
     state the one before left."""
@@ -110,7 +110,7 @@ def replayed(messages: DataFrame, triggers: int = 2, strategy: Strategy = Strate
         low, high = end * k // triggers, end * (k + 1) // triggers
         messages.where((F.col("idx") >= low) & (F.col("idx") < high)).write.mode("append").parquet(f"{base}/in")
         live = spark.readStream.schema(messages.schema).parquet(f"{base}/in")
-        out = book_stream(live, strategy)
+        out = book_stream(live, strategy, locates)
         writer = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
         writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")

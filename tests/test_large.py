@@ -21,6 +21,22 @@ DATA = "/root/testdata/sf0.001"
 OVER_FEEDS = ["book_counters"]
 
 
+@pytest.fixture(scope="module")
+def wide(tmp_path_factory):
+    """A folder whose events have users on both sides of 65,536."""
+    folder = tmp_path_factory.mktemp("wide")
+    for name in os.listdir(DATA):
+        if name != "events.parquet":
+            os.symlink(f"{DATA}/{name}", folder / name)
+    duckdb.sql(f"COPY (SELECT * REPLACE (user_id + 65528 AS user_id) FROM '{DATA}/events.parquet') TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", OVER_FEEDS)
+def test_locates_of_several_feeds(spark, wide, name):
+    same(spark, connect(wide), catalogue.QUERIES[name], catalogue.SQL[name], wide)
+
+
 def test_mean_of_a_sum_beyond_64_bits(spark):
     rows = spark.createDataFrame([(2**62 + x,) for x in range(4)], "v long")
     found = H.quantiles(H.histogram(rows, F.col("v")), {"p50": 0.5}).first()

@@ -18,7 +18,7 @@ from quillbook.sources.fixture import Fixture, stream
 from oracle import connect, same
 
 DATA = "/root/testdata/sf0.001"
-OVER_FEEDS = ["book_counters", "coverage", "crossed_events", "crossed_locked", "depth_final"]
+OVER_FEEDS = ["book_counters", "coverage", "crossed_events", "crossed_locked", "depth_final", "depth_invariants"]
 
 
 @pytest.fixture(scope="module")

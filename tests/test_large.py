@@ -18,7 +18,7 @@ from quillbook.sources.fixture import Fixture, stream
 from oracle import connect, same
 
 DATA = "/root/testdata/sf0.001"
-OVER_FEEDS = ["book_counters", "coverage", "crossed_events", "crossed_locked", "depth_final", "depth_invariants", "depth_snapshots", "depth_top5", "distance_ways", "find_orders", "invariant_buckets", "decode_roundtrip", "framed_scan"]
+OVER_FEEDS = ["book_counters", "coverage", "crossed_events", "crossed_locked", "depth_final", "depth_invariants", "depth_snapshots", "depth_top5", "distance_ways", "find_orders", "invariant_buckets", "distance_hist", "decode_roundtrip", "framed_scan"]
 
 
 @pytest.fixture(scope="module")

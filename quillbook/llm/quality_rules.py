@@ -272,6 +272,7 @@ def estimate(
         falls, less = (F.coalesce(F.col("new.logdet") < F.col("logdet") - by, F.lit(False)) for by in (FALL, 0.0))
         best = F.when(less, F.col("new")).otherwise(F.struct(*_SHAPE)).alias("best")
         now = scratch.table(met.select(*keys, "parent", best, falls.alias("live")).select(*keys, "parent", "best.*", "live"), "scatter")
+        scratch.let_go(rows.sparkSession)
         if now.where("live").isEmpty():
             break
     least = now.groupBy("group", "parent").agg(F.min_by(F.struct("start", *_SHAPE), F.struct("logdet", "start")).alias("best"))
